@@ -31,9 +31,10 @@ def strip(text: Column) -> Column:
 
 def snake_case(name: Column) -> Column:
     """The name in lower snake case; empty if it has no letter or digit."""
+    done = name.rlike("^[a-z0-9]+(_[a-z0-9]+)*$")  # most names are in this form already
     parts = F.regexp_replace(strip(name), r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "_")
     parts = F.lower(F.regexp_replace(parts, r"[^\p{L}\p{M}\p{N}]+", "_"))
-    return F.regexp_replace(parts, "^_+|_+$", "")
+    return F.when(done, name).otherwise(F.regexp_replace(parts, "^_+|_+$", ""))
 
 
 def as_micro(text: Column) -> Column:
@@ -49,7 +50,8 @@ def as_micro(text: Column) -> Column:
     science = r"^([+-]?)([0-9]+)[.,]([0-9]+)e([+-]?[0-9]{1,2})$"
     usual = F.when(bare.rlike(shape), F.concat(F.regexp_extract(bare, shape, 1), F.regexp_replace(F.regexp_extract(bare, shape, 2), "[.,]", ""), F.lit("."), F.regexp_extract(bare, shape, 3), F.lit("0e"), _exponent(F.regexp_extract(bare, shape, 4))))
     exact = F.when(bare.rlike(science), F.concat(F.regexp_extract(bare, science, 1), F.regexp_extract(bare, science, 2), F.lit("."), F.regexp_extract(bare, science, 3), F.lit("e"), _exponent(F.regexp_extract(bare, science, 4))))
-    value = F.coalesce(exact, usual).try_cast("decimal(38,10)")
+    plain = F.when(text.rlike(r"^[0-9]{1,17}(\.[0-9]{1,2})?$"), text)  # most numbers are in this form already
+    value = F.coalesce(plain, exact, usual).try_cast("decimal(38,10)")
     return F.round(value.try_cast("decimal(27,10)") * F.lit(1_000_000).cast("decimal(7,0)"), 0).try_cast(MICRO)
 
 
@@ -103,11 +105,10 @@ def as_date(text: Column) -> Column:
 def latest_values(entries: DataFrame) -> DataFrame:
     """(id, attr, value): the value with the greatest entry_no of each cell, null where that leaves it empty.
 
-    Rows with null id or a key without letters and digits are ignored. Rows with a null entry_no lose; of
+    Rows with null id are ignored; keys without letters and digits have the attribute ``''``. Rows with a null entry_no lose; of
     several values under one entry_no the greatest text counts. Values are stripped of outer white space.
     """
     rows = entries.where(F.col("id").isNotNull()).select("id", snake_case(F.col("meta_key")).alias("attr"), "entry_no", "meta_value")
-    rows = rows.where("attr <> ''")
     newest = rows.groupBy("id", "attr").agg(F.max(F.struct("entry_no", "meta_value")).alias("v"))
     value = strip(F.col("v.meta_value"))
     return newest.select("id", "attr", F.when(~F.lower(value).isin(EMPTY), value).alias("value"))
@@ -116,10 +117,12 @@ def latest_values(entries: DataFrame) -> DataFrame:
 def attribute_names(entries: DataFrame) -> list[str]:
     """All attributes in order; an error where they are too many for the columns of a table."""
     keys = entries.where(F.col("id").isNotNull()).select("meta_key").distinct()
-    names = keys.select(snake_case(F.col("meta_key")).alias("attr")).where("attr <> ''").distinct().limit(MAX_COLUMNS + 1).collect()
+    # the spellings are made distinct first; a filter here would be pushed to every row
+    found = keys.select(snake_case(F.col("meta_key")).alias("attr")).distinct().limit(MAX_COLUMNS + 2).collect()
+    names = sorted(r[0] for r in found if r[0])
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} attributes; keep such data in rows")
-    return sorted(r[0] for r in names)
+    return names
 
 
 def typed(value: Column, kind: str | None) -> Column:
@@ -135,8 +138,9 @@ def wide_table(entries: DataFrame, names: list[str] | None = None, kinds: dict[s
     """
     names = attribute_names(entries) if names is None else names
     place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map()
-    cells = latest_values(entries).select("id", F.try_element_at(place, F.col("attr")).alias("pos"), "value").where("pos is not null")
-    rows = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+    cells = latest_values(entries).select("id", F.try_element_at(place, F.col("attr")).alias("pos"), "value")
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))
+    rows = cells.groupBy("id").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.count("pos").alias("n")).where("n > 0")
     filled = F.map_from_entries("cells")
     grid = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.try_element_at(F.col("filled"), i))
     rows = rows.select("id", filled.alias("filled")).select("id", grid.alias("grid"))
