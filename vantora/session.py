@@ -76,3 +76,9 @@ def guarded_join(
 def task_count(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows of ``per_task`` each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over at least as many partitions as there are task slots; a table in few files is shuffled once."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(2 * slots)
