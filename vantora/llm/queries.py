@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import clusters, neighbours
+from . import clusters, distinctive, leakage, neighbours, ranking, tokens
 from .vectors import usable
 
 
@@ -23,7 +24,49 @@ def p5_found(spark, d):
     return neighbours.similar_pairs(table(spark, d, "upserts"), table(spark, d, "collection_config"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p5_found)}
+SCORES = [("vector_score", False), ("text_score", True), ("combined_score", True)]
+
+
+def p4_found(spark, d):
+    """Items among the first five places by every score, from the walk's places."""
+    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES)
+    return ranked.where("p0 <= 5 and p1 <= 5 and p2 <= 5").select("query_id", "id")
+
+
+def p4_ranking(spark, d):
+    """One ranking for each query, by the walk's weight; ties go to the smaller id."""
+    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES).withColumn("weight", F.round("weight", 9))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "id"))
+    return ranked.select("query_id", "id", "weight", place.cast("long").alias("place"))
+
+
+def p6_found(spark, d):
+    """Terms that are frequent in a document and rare in its index."""
+    return distinctive.term_scores(table(spark, d, "term_entries"), least_tf=5, least_df=2, one_in=20).select("index_id", "doc_id", "term")
+
+
+def p6_scores(spark, d):
+    """The log-likelihood ratio of every term of every document."""
+    return distinctive.term_scores(table(spark, d, "term_entries"))
+
+
+def p8_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    """Texts that hold at least twelve consecutive words of an item."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("exact").select("doc_id", "item_id")
+
+
+def p9_similar(spark, d):
+    """All leaks, with those whose window is only similar to one of the item."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "exact")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_ranking, p5_found, p6_found, p6_scores, p8_ids, p9_found, p9_similar)}
 
 _USABLE = """
     usable as (
@@ -41,6 +84,24 @@ _USABLE = """
     linked as (
       select id_a, id_b, sim from sims where sim >= 0.8 union all select id_b, id_a, sim from sims where sim >= 0.8)"""
 
+_PLACE = """case when {c} is not null and not isnan({c}) then
+              rank() over (partition by query_id, ({c} is not null and not isnan({c})) order by {sign}{c}) end"""
+
+_TERMS = """
+        with occ as (
+          select index_id, term, doc_id, max(tf)::bigint as tf from (
+            select index_id, lower(trim(term, ' \t\n\r\u00a0')) as term,
+              unnest(doc_ids[:least(len(doc_ids), len(term_freqs))]) as doc_id,
+              unnest(term_freqs[:least(len(doc_ids), len(term_freqs))]) as tf
+            from term_entries where index_id is not null)
+          where doc_id is not null and tf > 0 and term <> '' group by all),
+        terms as (select index_id, term, count(*) as df, sum(tf)::double as term_total from occ group by all),
+        docs as (select index_id, doc_id, sum(tf)::double as doc_total from occ group by all),
+        idx as (select index_id, count(*) as n_docs, sum(doc_total) as total from docs group by all),
+        scored as (select * from occ join terms using (index_id, term) join docs using (index_id, doc_id) join idx using (index_id))"""
+
+_XLOG = "(case when {0} > 0 then {0} * ln({0} / total) else 0 end)"
+
 SQL = {
     "p1_found": f"""
         with recursive {_USABLE},
@@ -67,4 +128,23 @@ SQL = {
         with {_USABLE},
         best as (select id_a, id_b from linked qualify row_number() over (partition by id_a order by sim desc, id_b) <= 5)
         select distinct least(id_a, id_b) as id_a, greatest(id_a, id_b) as id_b from best""",
+    "p4_found": f"""
+        with latest as (
+          select * from hybrid_results where query_id is not null and id is not null
+          qualify row_number() over (partition by query_id, id order by scored_at desc nulls last) = 1),
+        places as (
+          select query_id, id,
+            {_PLACE.format(c="vector_score", sign="")} as p0,
+            {_PLACE.format(c="text_score", sign="-")} as p1,
+            {_PLACE.format(c="combined_score", sign="-")} as p2
+          from latest)
+        select query_id, id from places where p0 <= 5 and p1 <= 5 and p2 <= 5""",
+    "p6_found": _TERMS + """
+        select index_id, doc_id, term from scored where tf >= 5 and df >= 2 and df * 20 <= n_docs""",
+    "p6_scores": _TERMS + f"""
+        select index_id, doc_id, term, tf, df, n_docs,
+          round(case when tf * total >= doc_total * term_total then 1.0 else -1.0 end * greatest(0.0, 2 * (
+            {" + ".join(map(_XLOG.format, ("tf", "(doc_total - tf)", "(term_total - tf)", "(total - doc_total - term_total + tf)")))}
+            - {" - ".join(map(_XLOG.format, ("doc_total", "(total - doc_total)", "term_total", "(total - term_total)")))})), 6) + 0.0 as llr
+        from scored""",
 }
