@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import clusters, distinctive, leakage, neighbours, ranking, tokens
+from . import clusters, distinctive, leakage, mojibake, neighbours, ranking, tokens
 from .vectors import usable
 
 
@@ -66,7 +66,16 @@ def p9_similar(spark, d):
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "exact")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_ranking, p5_found, p6_found, p6_scores, p8_ids, p9_found, p9_similar)}
+def p10_found(spark, d):
+    return mojibake.damaged_texts(table(spark, d, "documents"))
+
+
+def p10_restored(spark, d):
+    """Damaged texts as they were, and what was done to them."""
+    return mojibake.restored_texts(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_ranking, p5_found, p6_found, p6_scores, p8_ids, p9_found, p9_similar, p10_found, p10_restored)}
 
 _USABLE = """
     usable as (
