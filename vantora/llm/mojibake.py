@@ -29,7 +29,7 @@ WRITTEN_IN = "cp1252 cp1251 cp1250 iso8859-2 koi8-r cp866 mac_roman cp437 cp850
 #: Encodings with several bytes for a character in which UTF-8 may have been read.
 WIDE = ["gbk", "shift_jis"]
 #: How much likelier (natural logarithm) another reading must be: as UTF-8, and as any other encoding.
-UTF8_GAIN, OTHER_GAIN = 1.0, 5.0
+UTF8_GAIN, OTHER_GAIN = 1.0, 4.5
 #: Of the sequences that another encoding's reading rests on, so many must occur in the corpus so often.
 SEEN_SHARE, SEEN_TIMES = 0.8, 2
 #: Buckets of the hashed counts of three, two and one characters. They bound the model whatever the corpus;
@@ -316,21 +316,45 @@ class Channel:
             return False
         return LOST in text or any(self.examine(w, s, e)[0] > 0 for _, _, w, s, e in self.windows(text))
 
+    def undone(self, window: str, channel: str, at_start: bool, at_end: bool) -> str | None:
+        """The window with the steps of a channel undone, the last one first; None if that can't be."""
+        for step in reversed(channel.split(", ")):
+            written, read = step.split(" read as ")
+            if written == "utf-8" and read not in WIDE:
+                nxt = self.as_utf8(window, read, at_start, at_end)
+            else:
+                to_byte = _to_byte(read) if read not in WIDE else {}
+                data = [ord(x) if x < "\x80" else to_byte.get(x) for x in window]
+                try:
+                    nxt = None if None in data else bytes(data).decode(written)
+                except UnicodeDecodeError:
+                    nxt = None
+            if nxt is None:
+                return None
+            window = nxt
+        return window
+
     def restore(self, text: str) -> tuple[str, str]:
-        """The text with its damaged windows replaced, and the channels found."""
-        out, last, channels = [], 0, set()
-        for i, j, w, s, e in self.windows(text):
-            gain, fixed, channel = self.examine(w, s, e)
-            if gain > 0:
-                channels.add(channel)
-            if gain > 0 or LOST in w:
+        """The text with its damaged windows replaced, and the channels found.
+
+        A channel that was found in the text is also undone where a window alone would not have told, if the
+        reading is at least as likely.
+        """
+        spans = [(i, j, w, s, e, *self.examine(w, s, e)) for i, j, w, s, e in self.windows(text)]
+        channels = sorted({x[7] for x in spans if x[5] > 0})
+        out, last, lost = [], 0, False
+        for i, j, w, s, e, gain, fixed, _ in spans:
+            if gain <= 0:
+                score = self.score(w, s, e)
+                other = [(self.score(x, s, e), x) for c in channels if (x := self.undone(w, c, s, e)) is not None]
+                fixed = max([o for o in other if o[0] >= score], default=(0, w))[1]
+            if fixed != w or LOST in w:
                 fixed = self.completed(fixed, s, e)
                 if LOST in fixed:
-                    fixed = self.fill(fixed, s, e)
-                    channels.add("lost bytes")
+                    fixed, lost = self.fill(fixed, s, e), True
             out += [text[last:i], fixed]
             last = j
-        return "".join(out) + text[last:], "; ".join(sorted(channels))
+        return "".join(out) + text[last:], "; ".join(channels + ["lost bytes"] * lost)
 
 
 @lru_cache(maxsize=2)

@@ -22,7 +22,7 @@ from ..session import cut
 #: Items of a query that one task may hold; the limits of a batch of small queries.
 TASK_ITEMS = 200_000
 #: Probability of starting anew, and steps of the power iteration.
-DAMPING, STEPS = 0.15, 60
+DAMPING, STEPS = 0.25, 24
 #: Ranks of a block in the distributed walk.
 BLOCK = 4096
 OUT = "query_id long, id long, p0 long, p1 long, p2 long, weight double"
@@ -72,30 +72,32 @@ def walk(query: np.ndarray, scores: np.ndarray, damping: float = DAMPING, steps:
     return places, weight
 
 
-def _small(batches):
-    held: list[pa.RecordBatch] = []
-
+def _small(damping: float, steps: int):
     def flush(rows: pa.Table):
         q = rows["query_id"].to_numpy()
         s = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in rows.column_names if c.startswith("s")], axis=1)
-        places, weight = walk(q, s)
+        places, weight = walk(q, s, damping, steps)
         cols = [rows["query_id"].combine_chunks(), rows["id"].combine_chunks(), *[pa.array(places[:, j], mask=places[:, j] == 0) for j in range(s.shape[1])], pa.array(weight)]
         return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["query_id", "id", *[f"p{j}" for j in range(s.shape[1])], "weight"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        if sum(x.num_rows for x in held) < 20_000:
-            continue
-        rows = pa.Table.from_batches(held)
-        q = rows["query_id"].to_numpy()
-        done = int(np.searchsorted(q, q[-1]))  # the last query may go on in the next batch
-        if done:
-            yield flush(rows.slice(0, done))
-        held = rows.slice(done).to_batches()
-    if held:
-        yield flush(pa.Table.from_batches(held))
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < 20_000:
+                continue
+            rows = pa.Table.from_batches(held)
+            q = rows["query_id"].to_numpy()
+            done = int(np.searchsorted(q, q[-1]))  # the last query may go on in the next batch
+            if done:
+                yield flush(rows.slice(0, done))
+            held = rows.slice(done).to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    return run
 
 
 def _ranked(rows: DataFrame, j: int) -> DataFrame:
@@ -142,7 +144,7 @@ def large_walk(rows: DataFrame, k: int, damping: float = DAMPING, steps: int = S
     return rows.select("query_id", "id", *[F.col(f"p{j}").cast("long") for j in range(k)], "weight")
 
 
-def rank_walk(results: DataFrame, scores: list[tuple[str, bool]], task_items: int = TASK_ITEMS) -> DataFrame:
+def rank_walk(results: DataFrame, scores: list[tuple[str, bool]], task_items: int = TASK_ITEMS, damping: float = DAMPING, steps: int = STEPS, block: int = BLOCK) -> DataFrame:
     """(query_id, id, p0.., weight): each item's place by each score (null: none) and its share of the walk.
 
     A place is 1 + the number of items that are better. Ties share a place. No rows give no rows.
@@ -153,10 +155,10 @@ def rank_walk(results: DataFrame, scores: list[tuple[str, bool]], task_items: in
     big_rows = cut(big)
     schema = OUT if k == 3 else "query_id long, id long, " + ", ".join(f"p{j} long" for j in range(k)) + ", weight double"
     if big_rows.isEmpty():
-        return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small, schema)
+        return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small(damping, steps), schema)
     # the large queries are at most rows / task_items many
     rows = cut(rows)
     small = rows.join(F.broadcast(big_rows), "query_id", "left_anti") if big_rows.count() < 10_000 else rows.join(big_rows, "query_id", "left_anti")
-    small = small.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small, schema)
+    small = small.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small(damping, steps), schema)
     large = rows.join(F.broadcast(big_rows), "query_id", "left_semi") if big_rows.count() < 10_000 else rows.join(big_rows, "query_id", "left_semi")
-    return small.unionByName(large_walk(large, k))
+    return small.unionByName(large_walk(large, k, damping, steps, block))
