@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changefeed, incremental, wide
 from ..session import shared_path, table
+from .store import REPLAY
 
 
 def p2_found(spark, d):
@@ -62,4 +63,5 @@ SQL = {
         select replica, seq from versions join marks using (primary_addr)
         where not synced or last_seq is null or seq > last_seq or first_at > last_sync or (changed and last_at > last_sync)""",
     "p2_published": "select primary_addr, seq, op from wal_entries where arrived_at is not null",
+    "p7_found": REPLAY,
 }
