@@ -99,11 +99,14 @@ def test_text(spark):
     docs = spark.createDataFrame([(1, "quick brown fox"), (2, "lazy brown dog"), (3, "quick lazy cat"), (4, None), (5, ""), (6, "a ! b")], "doc_id long, text string")
     index = text.postings(docs)
     q = spark.createDataFrame([(0, "brown"), (1, "brown brown"), (2, "brown QUICK"), (3, ""), (4, "unseen")], "qid long, query string")
-    got = {(r.qid, r.id): r.score for r in text.bm25_search(index, q, 9).collect()}
+    got = {(r.qid, r.id): r.score for r in text.bm25_search(docs, q, 9).collect()}
     assert abs(got[0, 1] - 0.470004) < 1e-6 and abs(got[0, 2] - got[0, 1]) < 1e-9 and abs(got[1, 1] - 2 * got[0, 1]) < 1e-8
     assert {k for k in got if k[0] > 2} == set() and rows(text.must_match(index, q.where("qid = 2"))) == [(2, 1)]
     assert one(spark, text.tokens(F.lit("Hello, World! This is a TEST é."))) == (["hello", "world", "this", "is", "test", "é"],)
-    apple = text.postings(spark.createDataFrame([(1, "apple apple apple"), (2, "apple")], "doc_id long, text string"))
+    assert {k: round(v, 6) for k, v in got.items()} == {(r.qid, r.id): round(r.score, 6) for r in text.bm25_scores(index, q).collect()}
+    assert rows(text.bm25_search(docs, q, 1, block=1)) == rows(text.bm25_search(docs, q, 1)) and text.bm25_search(docs.limit(0), q, 3).collect() == []
+    assert rows(text.bm25_search(docs, q.where("qid = 0"), 9, spark.createDataFrame([(2,)], "id long")).select("id")) == [(2,)]
+    apple = spark.createDataFrame([(1, "apple apple apple"), (2, "apple")], "doc_id long, text string")
     assert scores(text.bm25_search(apple, spark.createDataFrame([(0, "apple")], "qid long, query string"), 5)) == {1: pytest.approx(0.258779, abs=1e-6), 2: pytest.approx(0.229204, abs=1e-6)}
     assert text.postings(docs.limit(0)).collect() == []
 

@@ -281,14 +281,14 @@ def doc_lengths(spark, d):
 
 @query(f"with {DOCS} {top('bm', order='score desc, id')}")
 def bm25_search(spark, d):
-    return rounded(text.bm25_search(text.postings(table(spark, d, "documents")), text_queries(spark, d), K))
+    return rounded(text.bm25_search(table(spark, d, "documents"), text_queries(spark, d), K))
 
 
 @query(f"with {DOCS}, ok as (select doc_id as id from documents where lang = 'en' and n_chars between 100 and 5000) {top('(select qid, id, score from bm join ok using (id))', order='score desc, id')}")
 def bm25_filtered(spark, d):
     docs = table(spark, d, "documents")
     ok = docs.where(flt.condition(flt.Eq("lang", "en") & flt.Range("n_chars", 100, 5000))).select(F.col("doc_id").alias("id"))
-    return rounded(text.bm25_search(text.postings(docs), text_queries(spark, d), K, ok))
+    return rounded(text.bm25_search(docs, text_queries(spark, d), K, ok))
 
 
 @query(f"with {DOCS} select qid, id from bm where score >= 60")
@@ -428,9 +428,9 @@ def hybrid_filtered(spark, d):
     """Vectors and texts under one id: twice k candidates of each without the deleted ones, fused by ranks."""
     dead = tombstones(spark, d)
     near = knn.knn_join(flt.active(vectors(spark, d), dead), queries(spark, d), 2 * K, "cosine")
-    index = text.postings(table(spark, d, "documents"))
-    alive = flt.active(text.bm25_scores(index, text_queries(spark, d)), dead)
-    best = knn.ranked(alive.select("qid", "id", "score"), 2 * K, ascending=False)
+    docs = table(spark, d, "documents")
+    alive = flt.active(docs.select(F.col("doc_id").alias("id")), dead)
+    best = text.bm25_search(docs, text_queries(spark, d), 2 * K, alive)
     return fusion.rrf([(near.select("qid", "id", "score"), True, 1.0), (best.select("qid", "id", "score"), False, 1.0)], K)
 
 
