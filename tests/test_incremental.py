@@ -34,6 +34,16 @@ def test_cases(spark):
     assert got == [("a", 3), ("a", 4), ("a", 9)] + [("b", i) for i in (1, 2, 3, 4, 5, 6, 9)]
 
 
+def test_replication_is_published_at_once(spark):
+    entries = spark.createDataFrame([("p", 1, T[0], "Insert", "c", 1, None, 0), ("p", 2, T[3], "Insert", "c", 2, None, 0)], ENTRY)
+    runs = spark.createDataFrame([("a", "p", 1, T[1], "Synced", 1), ("b", "z", None, T[1], "Error", 1)], RUN)
+    store = inc.CommittedRuns(spark, shared_path(spark, "replicate"))
+    assert [tuple(r) for r in store.replicate(entries, runs).collect()] == [("a", 2)] and store.committed() == [1]
+    mark = {r.replica: r.last_seq for r in spark.read.json(f"{store.root}/run-1/mark").collect()}
+    assert mark["a"] == 2
+    assert store.replicate(entries.limit(0), runs).collect() == [] and store.committed() == [1, 2]
+
+
 def test_empty(spark):
     e, r = spark.createDataFrame([], ENTRY), spark.createDataFrame([], RUN)
     assert inc.changes_since(e, inc.last_success(r), inc.upper_bound(e)).collect() == []

@@ -7,13 +7,12 @@ rename leaves no trace that a later run reads; one that dies after it is complet
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import guarded_join
+from ..session import cut, guarded_join
 
 #: Absent parts of a fingerprint must differ from every present text.
 _NONE = "\u0000"
@@ -109,11 +108,33 @@ class CommittedRuns:
         runs = self.committed()
         if not runs:
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/run-{runs[-1]}/mark").first()[0])
+        return self.spark.read.json(f"{self.root}/run-{runs[-1]}/mark").first().asDict()
 
     def rows(self, run: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/run-{run}/rows")
 
+    def publish(self, run: int, rows: DataFrame, mark: DataFrame) -> DataFrame:
+        """Writes rows and watermark into a working folder, renames it once, and gives the published rows."""
+        fs, path = self._fs()
+        work = f"{self.root}/_work-{run}"
+        fs.delete(path(work), True)
+        rows.write.parquet(f"{work}/rows")
+        mark.coalesce(1).write.json(f"{work}/mark")
+        if fs.exists(path(f"{self.root}/run-{run}")) or not fs.rename(path(work), path(f"{self.root}/run-{run}")):
+            raise RuntimeError(f"run {run} was published by another writer")
+        return self.rows(run)
+
+    def replicate(self, entries: DataFrame, runs: DataFrame) -> DataFrame:
+        """One run for all replicas: what is new or changed since each one's watermark, up to a bound fixed at the start.
+
+        The new watermarks (the bound, as replica, last_seq, last_sync) are published with the rows.
+        """
+        marks = last_success(runs)
+        bound = cut(upper_bound(entries))
+        found = changes_since(entries, marks, bound)
+        new = marks.join(bound, "primary_addr", "left").select("replica", "primary_addr", F.col("high_seq").alias("last_seq"), F.col("high_time").alias("last_sync"))
+        return self.publish((self.committed() or [0])[-1] + 1, found, new)
+
     def process(self, source: DataFrame, seq: str, transform=lambda df: df) -> int | None:
         """Process the rows of ``source`` above the watermark, once; gives the run's number, None if none is new.
 
@@ -126,12 +147,6 @@ class CommittedRuns:
         high = newer.agg(F.max(seq)).first()[0]
         if high is None:
             return None
-        fs, path = self._fs()
         run = (self.committed() or [0])[-1] + 1
-        work = f"{self.root}/_work-{run}"
-        fs.delete(path(work), True)
-        transform(newer.where(F.col(seq) <= F.lit(high))).write.parquet(f"{work}/rows")
-        self.spark.createDataFrame([(json.dumps({"seq": high}),)], "mark string").coalesce(1).write.text(f"{work}/mark")
-        if not fs.rename(path(work), path(f"{self.root}/run-{run}")):
-            raise RuntimeError(f"run {run} was published by another writer")
+        self.publish(run, transform(newer.where(F.col(seq) <= F.lit(high))), self.spark.createDataFrame([(high,)], "seq long"))
         return run

@@ -11,9 +11,8 @@ from .store import REPLAY
 
 def p2_found(spark, d):
     """New or changed entries of each replica, taken from the published output of one run."""
-    entries, runs = table(spark, d, "wal_entries"), table(spark, d, "replica_state")
-    marks = incremental.last_success(runs)
-    return incremental.changes_since(entries, marks, incremental.upper_bound(entries))
+    runs = incremental.CommittedRuns(spark, shared_path(spark, "p2-found"))
+    return runs.replicate(table(spark, d, "wal_entries"), table(spark, d, "replica_state"))
 
 
 def p2_published(spark, d):
@@ -62,6 +61,38 @@ SQL = {
           from wal_entries where primary_addr is not null and seq is not null group by all)
         select replica, seq from versions join marks using (primary_addr)
         where not synced or last_seq is null or seq > last_seq or first_at > last_sync or (changed and last_at > last_sync)""",
+    "p3_found": r"""
+        with keyed as (
+          select id, entry_no, meta_value,
+            trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(trim(meta_key), '([\p{Ll}\p{N}])(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '[^\p{L}\p{N}]+', '_', 'g')), '_+', '_', 'g'), '_') as attr
+          from metadata_entries where id is not null and meta_key is not null),
+        latest as (
+          select id, attr, regexp_replace(meta_value, '^[\s\x{00a0}\x{2009}\x{3000}]+|[\s\x{00a0}\x{2009}\x{3000}]+$', '', 'g') as v from keyed where attr <> ''
+          qualify row_number() over (partition by id, attr order by entry_no desc, meta_value desc nulls last) = 1),
+        given as (select * from latest where lower(v) not in ('', 'n/a', 'null', 'none', '-', 'unknown', '?')),
+        bare as (
+          select *, trim(regexp_replace(regexp_replace(lower(v), '\p{Sc}|\b(usd|eur|gbp|pln|pcs)\b', '', 'g'), '\s*/\s*5$', '')) as b from given),
+        parts as (
+          select *, regexp_extract(b, 'e([+-]?[0-9]{1,2})$', 1) as e, regexp_replace(b, 'e[+-]?[0-9]{1,2}$', '') as m from bare),
+        numbers as (
+          select *, case when not regexp_matches(b, '^[+-]?[0-9][0-9.,]*(e[+-]?[0-9]{1,2})?$') then null
+            when e <> '' and regexp_matches(m, '^[+-]?[0-9]+[.,][0-9]+$') then replace(m, ',', '.')
+            when regexp_matches(m, '[.,][0-9]{1,2}$') then regexp_replace(regexp_replace(m, '[.,]([0-9]{1,2})$', ''), '[.,]', '', 'g') || '.' || regexp_extract(m, '[.,]([0-9]{1,2})$', 1)
+            else regexp_replace(m, '[.,]', '', 'g') end as n
+          from parts),
+        typed as (
+          select id, attr, case
+            when attr in ('price', 'rating', 'stock_count') then round(try_cast(n as decimal(28, 10)) * 1000000 * case when e = '' then 1 else pow(10, try_cast(e as int)) end)::hugeint::varchar
+            when attr = 'in_stock' then case when lower(v) in ('true', 'yes', 'y', 't', '1') then 'true' when lower(v) in ('false', 'no', 'n', 'f', '0') then 'false' end
+            when attr = 'released_on' then case
+              when regexp_matches(v, '^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(T[0-9:]+Z)?$') then try_cast(replace(v[:10], '/', '-') as date)
+              when regexp_matches(v, '^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$') then try_cast(v[7:10] || '-' || v[4:5] || '-' || v[1:2] as date)
+              when regexp_matches(v, '^[0-9]{8}$') then try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] as date)
+              when regexp_matches(v, '^[0-9]{9,15}$') then (date '1970-01-01' + (v::bigint // 86400000)::int)
+              when regexp_matches(v, '^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$') then try_strptime(v, '%-d %b %Y')::date end::varchar
+            else v end as cell
+          from numbers)
+        select id, attr, cell from typed where cell is not null""",
     "p2_published": "select primary_addr, seq, op from wal_entries where arrived_at is not null",
     "p7_found": REPLAY,
 }
