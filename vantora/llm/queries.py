@@ -156,4 +156,16 @@ SQL = {
             {" + ".join(map(_XLOG.format, ("tf", "(doc_total - tf)", "(term_total - tf)", "(total - doc_total - term_total + tf)")))}
             - {" - ".join(map(_XLOG.format, ("doc_total", "(total - doc_total)", "term_total", "(total - term_total)")))})), 6) + 0.0 as llr
         from scored""",
+    "p9_found": r"""
+        with texts as (
+          select 'd' as kind, doc_id as id, text as t from documents where text is not null
+          union all select 'i', item_id, question from eval_items where question is not null
+          union all select 'i', item_id, answer from eval_items where answer is not null),
+        words as (
+          select kind, id, regexp_extract_all(nfc_normalize(lower(nfc_normalize(regexp_replace(t, '[\x{00ad}\x{200b}-\x{200f}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g')))), '[\p{L}\p{M}\p{N}]+') as w
+          from texts),
+        grams as (
+          select distinct kind, id, array_to_string(w[i + 1 : i + 12], ' ') as g
+          from (select *, unnest(range(len(w) - 11)) as i from words where len(w) >= 12))
+        select distinct d.id as doc_id, i.id as item_id from grams d join grams i using (g) where d.kind = 'd' and i.kind = 'i'""",
 }
