@@ -33,45 +33,68 @@ def feature_leaves(m: np.ndarray, radius: float) -> list[np.ndarray]:
     A row descends to the nearest node centroid, then to its nearest leaf. Nodes with more than ``FANOUT``
     leaves are split at their two farthest leaves, as in the tree's insertion rule.
     """
-    seeds = np.empty_like(m)  # first row of each leaf
+    # distances come from products: |x - s|^2 = |x|^2 - 2 (x.s - |s|^2 / 2)
+    half = (m**2).sum(axis=1) / 2
+    limit = half - radius * radius / 2  # x.s - |s|^2 / 2 must reach this
     members: list[list[int]] = []
-    nodes: list[list[int]] = [[]]
-    centres = np.zeros((1, m.shape[1]))
+    leaf_of: list[list[int]] = [[]]  # leaves of each node
+    seeds = [np.empty((FANOUT + 1, m.shape[1]))]
+    halves = [np.empty(FANOUT + 1)]
+    centres, centre_halves, sums = np.zeros((16, m.shape[1])), np.zeros(16), [np.zeros(m.shape[1])]
+
+    def recentre(node: int) -> None:
+        centres[node] = sums[node] / len(leaf_of[node])
+        centre_halves[node] = centres[node] @ centres[node] / 2
+
     for i, x in enumerate(m):
-        if not members:
-            seeds[0], centres[0] = x, x
-            members.append([i])
-            nodes[0].append(0)
-            continue
-        at = int(np.argmin(((centres - x) ** 2).sum(axis=1))) if len(nodes) > 1 else 0
-        own = nodes[at]
-        d = ((seeds[own] - x) ** 2).sum(axis=1)
-        j = int(np.argmin(d))
-        if d[j] <= radius * radius:
-            members[own[j]].append(i)
-            continue
-        seeds[len(members)] = x
+        nodes = len(leaf_of)
+        at = int((centres[:nodes] @ x - centre_halves[:nodes]).argmax()) if nodes > 1 else 0
+        own, n = leaf_of[at], len(leaf_of[at])
+        if n:
+            near = seeds[at][:n] @ x - halves[at][:n]
+            j = int(near.argmax())
+            if near[j] >= limit[i]:
+                members[own[j]].append(i)
+                continue
+        seeds[at][n], halves[at][n] = x, half[i]
         own.append(len(members))
         members.append([i])
+        sums[at] += x
         if len(own) > FANOUT:
-            s = seeds[own]
-            far = int(np.argmax(((s - s[0]) ** 2).sum(axis=1)))
-            other = int(np.argmax(((s - s[far]) ** 2).sum(axis=1)))
-            side = ((s - s[far]) ** 2).sum(axis=1) < ((s - s[other]) ** 2).sum(axis=1)
-            own = np.asarray(own)
-            nodes[at] = own[~side].tolist()
-            nodes.append(own[side].tolist())
-            centres = np.vstack([centres, seeds[nodes[-1]].mean(axis=0)])
-        centres[at] = seeds[nodes[at]].mean(axis=0)
+            s = seeds[at]
+            far = int(((s - s[0]) ** 2).sum(axis=1).argmax())
+            away = ((s - s[far]) ** 2).sum(axis=1)
+            side = away < ((s - s[int(away.argmax())]) ** 2).sum(axis=1)
+            numbers = np.asarray(own)
+            if nodes == len(centres):
+                centres, centre_halves = np.concatenate([centres, np.zeros_like(centres)]), np.concatenate([centre_halves, np.zeros_like(centre_halves)])
+            for node, part in ((at, ~side), (nodes, side)):
+                fresh, fresh_halves = np.empty_like(s), np.empty(FANOUT + 1)
+                count = int(part.sum())
+                fresh[:count], fresh_halves[:count] = s[part], halves[at][part]
+                if node == at:
+                    kept = fresh, fresh_halves
+                    leaf_of[at], sums[at] = numbers[part].tolist(), s[part].sum(axis=0)
+                else:
+                    leaf_of.append(numbers[part].tolist())
+                    sums.append(s[part].sum(axis=0))
+                    seeds.append(fresh)
+                    halves.append(fresh_halves)
+            seeds[at], halves[at] = kept
+            recentre(nodes)
+        recentre(at)
     return [np.asarray(x) for x in members]
 
 
 def linked(m: np.ndarray, reach: float) -> np.ndarray:
     """For each row the first row of its cluster: rows at most ``reach`` apart, and chains of such, belong together."""
     leaves = feature_leaves(m, reach / 2)
+    # features of all leaves at once: rows in leaf order, sums over each leaf's run
     n = np.array([len(x) for x in leaves])
-    centre = np.stack([m[x].mean(axis=0) for x in leaves])
-    spread = np.array([np.sqrt(((m[x] - c) ** 2).sum(axis=1).max()) for x, c in zip(leaves, centre)])
+    rows, start = np.concatenate(leaves), np.r_[0, np.cumsum(n)[:-1]]
+    centre = np.add.reduceat(m[rows], start, axis=0) / n[:, None]
+    leaf_of_row = np.repeat(np.arange(len(leaves)), n)
+    spread = np.sqrt(np.maximum.reduceat(((m[rows] - centre[leaf_of_row]) ** 2).sum(axis=1), start))
     square = (centre**2).sum(axis=1)
     root = np.arange(len(leaves))
 
@@ -102,13 +125,11 @@ def linked(m: np.ndarray, reach: float) -> np.ndarray:
                 close = ((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T).min() <= reach * reach * (1 + 1e-12)
             if close:
                 root[max(a, b)] = min(a, b)
+    top = np.array([find(i) for i in range(len(leaves))])
+    least = np.full(len(leaves), len(m))
+    np.minimum.at(least, top[leaf_of_row], rows)
     first = np.empty(len(m), np.int64)
-    groups: dict[int, list[int]] = {}
-    for i in range(len(leaves)):
-        groups.setdefault(find(i), []).append(i)
-    for g in groups.values():
-        rows = np.concatenate([leaves[i] for i in g])
-        first[rows] = rows.min()
+    first[rows] = least[top[leaf_of_row]]
     return first
 
 
