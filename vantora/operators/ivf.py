@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import knn, quant
 
 #: Lists whose centroids fit on the driver and in every task.
@@ -81,8 +81,7 @@ def pq_search(coded: DataFrame, queries: DataFrame, centroids: DataFrame, pq: qu
     probes = probe(queries, centroids, nprobe).select("qid", "list_id")
     parts = probes.join(queries, "qid").join(centroids, "list_id")
     parts = parts.select("qid", "list_id", F.zip_with("qvec", "centroid", lambda q, c: q.cast("double") - c).alias("qvec"))
-    # one number for a query and list; numbers are given in order, so they are dense and small
-    numbered = parts.withColumn("pair", F.row_number().over(W.orderBy("qid", "list_id")).cast("long"))
+    numbered = cut(parts.withColumn("pair", F.monotonically_increasing_id()))  # written, so that the numbers stay
     vectors = coded.select("id", "list_id", pq.decode(F.col("codes")).alias("vector"))
     pairs = numbered.select(F.col("pair").alias("qid"), "qvec")
     found = knn.knn_join(vectors, pairs, k, "l2_squared", probes=numbered.select(F.col("pair").alias("qid"), "list_id"))

@@ -19,6 +19,8 @@ from ..functions.vectors import SCORES
 
 #: Queries that a task scores at once; more are taken block by block.
 QUERY_BLOCK = 2_048
+#: Scores that a task holds at once.
+SLICE = 2_000_000
 #: Scores are rounded to this many digits before they are ranked, ties go to the smaller id.
 DIGITS = 9
 TINY = 1e-10
@@ -58,8 +60,9 @@ def _local_top(qids, qvecs, k, metric, probes=None):
             flat, starts = np.asarray(column.flatten(), np.float64), np.r_[0, np.cumsum(lengths)]
             for n, (qid, q) in groups.items():
                 at = np.flatnonzero(lengths == n)
-                for lo in range(0, len(at), 4_096):
-                    part = at[lo : lo + 4_096]
+                step = max(128, SLICE // len(qid))
+                for lo in range(0, len(at), step):
+                    part = at[lo : lo + step]
                     m = flat[starts[part][:, None] + np.arange(n)]
                     s = np.round(score_matrix(m, q, metric), DIGITS) + 0.0
                     s = np.where(np.isnan(s), np.inf, s)
