@@ -9,6 +9,7 @@ word shingles and word by word.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -27,14 +28,15 @@ ITEM_WINDOWS = 400_000
 #: Words that a task handles in one go.
 CHUNK_WORDS = 40_000
 #: Characters without a width of their own, left out wherever they stand.
-INVISIBLE = dict.fromkeys([0xAD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
+INVISIBLE = [0xAD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+_INVISIBLE = re.compile("[" + "".join(map(chr, sorted(INVISIBLE))) + "]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def words(text: str) -> list[str]:
     """The words of a text: runs of letters and digits, whatever the case, composition and invisible characters."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(INVISIBLE))
+        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text))
         text = unicodedata.normalize("NFC", text.casefold())
         return _WORD.findall(text)
     return _WORD.findall(text.lower())
@@ -52,11 +54,21 @@ class _Hashes(dict):
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """SimHash of every window of a run of word hashes."""
-    n = len(hashes) - window + 1
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    sums = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    return np.packbits((sums[window:] - sums[:n]) * 2 > window, axis=1).view(np.uint64).ravel()
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    kind = np.uint8 if window < 256 else np.int32
+    # sums over runs of 1, 2, 4, ... words, put together to the window's length
+    run, size, sums, done = bits.astype(kind), 1, None, 0
+    while True:
+        if window & size:
+            part = run[done:]
+            sums = part if sums is None else sums[: len(part)] + part[: len(sums)]
+            done += size
+        if size * 2 > window:
+            break
+        run = run[:-size] + run[size:]
+        size *= 2
+    sums = sums[: len(hashes) - window + 1]
+    return np.packbits(sums > window // 2, axis=1).view(np.uint64).ravel()
 
 
 def shingle_hashes(rows: np.ndarray, size: int = SHINGLE) -> np.ndarray:
