@@ -63,9 +63,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
         total = np.zeros(BUCKETS, np.int64)
 
         def add(keys, size, start):
-            nonlocal total
-            at, n = np.unique((keys & np.uint64(size - 1)).astype(np.int64), return_counts=True)
-            total[start + at] += n
+            total[start : start + size] += np.bincount((keys & np.uint64(size - 1)).astype(np.int64), minlength=size)
 
         for b in batches:
             codes = [_codes(text) for text in b.column(0).to_pylist()]
@@ -111,6 +109,17 @@ def _to_char(encoding: str) -> list[str]:
     return [chr(b) if b < 128 else back.get(b, chr(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=None)
+def _sequence(encoding: str) -> re.Pattern:
+    """What a UTF-8 sequence of at least two bytes looks like when read in an encoding."""
+    chars = _to_char(encoding)
+
+    def one_of(lo, hi):
+        return "[" + re.escape("".join(chars[lo:hi])) + "]"
+
+    return re.compile(one_of(0xC2, 0xF5) + one_of(0x80, 0xC0))
+
+
 class Channel:
     """Finds and undoes damage in texts, under the counts of a corpus."""
 
@@ -163,6 +172,8 @@ class Channel:
 
     def as_utf8(self, window: str, encoding: str, at_start: bool, at_end: bool) -> str | None:
         """The window with its characters of ``encoding`` read as UTF-8, where they form it; None if nowhere."""
+        if not _sequence(encoding).search(window):
+            return None
         to_byte, to_char = _to_byte(encoding), _to_char(encoding)
         out, run, changed = [], bytearray(), False
 
