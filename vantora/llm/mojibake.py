@@ -49,7 +49,7 @@ _N1, _N2, _N3 = 49979687, 86028121, 32452843
 
 def _codes(text: str) -> np.ndarray:
     """Code points with digits as 0 and each run of ASCII white space as one edge, edges around."""
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     c[(c >= 48) & (c <= 57)] = 48
     blank = (c == 32) | ((c >= 9) & (c <= 13))
     c[blank] = _EDGE
@@ -63,7 +63,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
         total = np.zeros(BUCKETS, np.int64)
 
         def add(keys, size, start):
-            total[start : start + size] += np.bincount((keys & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            total[start : start + size] += np.bincount(keys & np.uint32(size - 1), minlength=size)
 
         for b in batches:
             codes = [_codes(text) for text in b.column(0).to_pylist()]
@@ -71,7 +71,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                 continue
             c = np.concatenate(codes)  # an edge stands between two texts
             x, y, z = c[:-2], c[1:-1], c[2:]
-            m1, m2, m3, n1, n2, n3 = map(np.uint64, (_M1, _M2, _M3, _N1, _N2, _N3))
+            m1, m2, m3, n1, n2, n3 = map(np.uint32, (_M1, _M2, _M3, _N1, _N2, _N3))  # only low bits count
             add(x * m1 ^ y * m2 ^ z * m3, TRI, 0)
             add(x * n1 ^ y * n2 ^ z * n3, TRI, TRI)
             add(c[:-1] * m2 ^ c[1:] * m3, BI, 2 * TRI)
@@ -128,16 +128,24 @@ class Channel:
         ends = np.cumsum([TRI, TRI, BI, BI])
         self.tri, self.tri2, self.bi, self.bi2, self.uni = (array("f", x.tobytes()) for x in np.split(n, ends))
         self.total = max(1.0, sum(self.uni))
+        self.logs: dict[int, float] = {}
         self.memory: dict[tuple[str, bool, bool], tuple[float, str, str]] = {}
         self._guesses: list[str] | None = None
 
     def step(self, a: int, b: int, c: int) -> float:
         """Log probability of c after a, b; smoothed by shorter contexts."""
+        key = (a << 21 | b) << 21 | c
+        known = self.logs.get(key)
+        if known is not None:
+            return known
+        if len(self.logs) > 4 * MEMORY:
+            self.logs.clear()
         p1 = (self.uni[c & UNI - 1] + 0.1) / (self.total + 1e4)
         n1 = self.uni[b & UNI - 1]
         p2 = (self.two(b, c) + 5 * p1) / (n1 + 5)
         p3 = (self.three(a, b, c) + 5 * p2) / (self.two(a, b) + 5) if a else p2
-        return math.log(min(p3, 1.0))
+        known = self.logs[key] = math.log(min(p3, 1.0))
+        return known
 
     def two(self, b: int, c: int) -> float:
         return min(self.bi[(b * _M2 ^ c * _M3) & BI - 1], self.bi2[(b * _N2 ^ c * _N3) & BI - 1])
