@@ -25,27 +25,27 @@ BUFFER = 32_768
 SEED = 20250101
 
 
-def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """Hyperplane normals (dim, trees * bits), orthogonal in runs of ``dim``."""
-    rng = np.random.default_rng(SEED + dim)
+    rng = np.random.default_rng(seed + dim)
     runs = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-trees * bits // dim))]
     return np.concatenate(runs, axis=1)[:, : trees * bits].astype(np.float32)
 
 
-def hash_strings(matrix: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+def hash_strings(matrix: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """Hash strings of unit rows as integers (rows, trees), first bit highest."""
-    sides = (matrix.astype(np.float32) @ planes(matrix.shape[1], trees, bits) > 0).reshape(len(matrix), trees, bits)
+    sides = (matrix.astype(np.float32) @ planes(matrix.shape[1], trees, bits, seed) > 0).reshape(len(matrix), trees, bits)
     return sides @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
-def _hashed(trees: int, bits: int):
+def _hashed(trees: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             grp, rep = (np.asarray(b.column(n)) for n in ("grp", "rep"))
             for at, m in lists_to_matrices(b.column("vector")):
-                hashes, packed = hash_strings(unit(m), trees, bits), pack(m)
+                hashes, packed = hash_strings(unit(m), trees, bits, seed), pack(m)
                 for t in range(trees):
                     cols = [pa.array(grp[at]), pa.array(np.full(len(at), t, np.int32)), pa.array(hashes[:, t]), pa.array(rep[at]), packed, pa.array(np.full(len(at), m.shape[1], np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, names=["grp", "tree", "h", "rep", "vec", "dim"])
@@ -123,12 +123,12 @@ def _blocks(work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None], bud
     return run
 
 
-def over_blocks(vectors: DataFrame, rows: int, work, schema: str, trees: int = TREES, budget: int = BUDGET, bits: int = BITS) -> DataFrame:
+def over_blocks(vectors: DataFrame, rows: int, work, schema: str, trees: int = TREES, budget: int = BUDGET, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """Applies ``work(ids, unit rows)`` to every candidate block of every tree.
 
     ``vectors``: grp, rep (unique within grp), vector; ``rows``: about how many. ``work`` returns a record batch of ``schema`` or None.
     """
-    hashed = vectors.select("grp", "rep", "vector").mapInArrow(_hashed(trees, bits), "grp long, tree int, h long, rep long, vec binary, dim int")
+    hashed = vectors.select("grp", "rep", "vector").mapInArrow(_hashed(trees, bits, seed), "grp long, tree int, h long, rep long, vec binary, dim int")
     parts = task_count(vectors.sparkSession, rows * trees, 131_072)
     order = ["grp", "tree", "dim", "h", "rep"]
     return hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(work, budget, bits), schema)

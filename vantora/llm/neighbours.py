@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import forest
 from .vectors import usable, with_copies
 
 #: Neighbours kept for each row beyond k, so that leaving out the row itself never leaves fewer than k.
 SPARE = 1
+#: Rows with at least a fourth of the budget near them in a block lie in a crowd that may be larger than the
+#: block; they are searched again in a second forest with so many times the budget.
+CROWD_SHARE, CROWD_BUDGET = 4, 4
 
 
-def block_neighbours(k: int, least: float):
-    """Work on a block: for each row its k most similar other rows with at least that cosine."""
+def block_neighbours(k: int, least: float, crowd: int):
+    """Work on a block: for each row its k most similar other rows with at least that cosine, and whether at least ``crowd`` rows are that near."""
 
     def work(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch | None:
         single, found = m.astype(np.float32), []
@@ -24,7 +28,8 @@ def block_neighbours(k: int, least: float):
             sims = single[lo : lo + 512] @ single.T
             sims[np.arange(len(sims)), np.arange(lo, lo + len(sims))] = -2
             near = sims >= least - 1e-5
-            wide = near.sum(axis=1) > 4 * k
+            count = near.sum(axis=1)
+            wide = count > 4 * k
             if wide.any():  # dense rows: keep what can be among the best before sorting
                 at = np.flatnonzero(wide)
                 bound = -np.partition(-sims[at], 2 * k, axis=1)[:, 2 * k] - 1e-6
@@ -39,10 +44,10 @@ def block_neighbours(k: int, least: float):
             r, c, exact = r[order], c[order], exact[order]
             first = np.searchsorted(r, r)
             top = np.arange(len(r)) - first < k
-            found.append((ids[lo + r[top]], ids[c[top]], exact[top]))
+            found.append((ids[lo + r[top]], ids[c[top]], exact[top], count[r[top]] >= crowd))
         if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["rep", "other", "sim"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["rep", "other", "sim", "crowded"])
 
     return work
 
@@ -55,10 +60,23 @@ def most_similar(vectors: DataFrame, k: int, least: float, **forest_options) ->
     """
     all_rows = with_copies(vectors)
     reps = all_rows.where("id = rep").select("grp", "rep", "vector")
-    found = forest.over_blocks(reps, reps.count(), block_neighbours(k, least), "rep long, other long, sim double", **forest_options)
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), "other"))), 1, k)
+    schema = "rep long, other long, sim double, crowded boolean"
+    first = forest_options | {"budget": forest_options.get("budget", forest.BUDGET)}
+    crowd = max(first["budget"] // CROWD_SHARE, 4 * k)
     # at most k rows of each tree meet in a group
-    near = found.groupBy("rep").agg(best.alias("b")).select("rep", F.inline("b")).select("rep", "other", (-F.col("far")).alias("sim"))
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), "other"))), 1, k)
+    found = forest.over_blocks(reps, reps.count(), block_neighbours(k, least, crowd), schema, **first)
+    near = cut(found.groupBy("rep").agg(best.alias("b"), F.max("crowded").alias("crowded")))
+    dense = near.where("crowded").select("rep")
+    n_dense = dense.count()
+    lists = near.select("rep", "b")
+    if n_dense:
+        second = first | {"budget": CROWD_BUDGET * first["budget"], "seed": forest.SEED + 1}
+        again = forest.over_blocks(reps.join(dense, "rep", "left_semi"), n_dense, block_neighbours(k, least, crowd), schema, **second)
+        more = again.groupBy("rep").agg(best.alias("b"))
+        both = F.flatten(F.collect_list("b"))
+        lists = lists.unionByName(more).groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(both)), 1, k).alias("b"))
+    near = lists.select("rep", F.inline("b")).select("rep", "other", (-F.col("far")).alias("sim"))
     # ids of exact copies, at most k + 1 of each group
     smallest = W.partitionBy("rep").orderBy("id")
     copies = (
