@@ -61,6 +61,14 @@ def test_recall_beyond_the_budget(spark):
     assert len({tuple(r) for r in got.collect()} & want) >= 0.9 * len(want)
 
 
+def test_recall_in_a_crowd(spark):
+    rng = np.random.default_rng(5)
+    m = (rng.standard_normal(16) + 0.2 * rng.standard_normal((1200, 16))).astype(np.float32)
+    got = neighbours.similar_pairs(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG), budget=64)
+    want = brute_pairs(m)
+    assert len({tuple(r) for r in got.collect()} & want) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_clusters(spark, seed):
     m = sample(seed)
