@@ -37,7 +37,7 @@ SEEN_SHARE, SEEN_TIMES = 0.8, 2
 TRI, BI, UNI = 1 << 21, 1 << 18, 1 << 16
 BUCKETS = 2 * TRI + 2 * BI + UNI
 #: Characters tried for a lost one, states kept by the search, UTF-8 layers undone, windows remembered.
-GUESSES, BEAM, LAYERS, MEMORY = 160, 24, 3, 200_000
+GUESSES, BEAM, LAYERS, MEMORY = 160, 24, 3, 60_000
 LOST = "\ufffd"
 #: A window: characters beyond ASCII with up to two others on each side, which is all the model looks at.
 WINDOW = re.compile(r"[!-~]{0,2}(?:[^\x00-\x7f](?:[!-~]{1,3}(?=[^\x00-\x7f]))?)+[!-~]{0,2}")
