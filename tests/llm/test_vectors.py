@@ -136,6 +136,34 @@ def test_prefix_blocks():
     assert cuts[0][0] == 0 and cuts[-1][1] == 5000 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:])) and max(b - a for a, b in cuts) <= 256
 
 
+def one_direction(n=700, others=100):
+    """Many vectors of one direction and different norms, beside a crowd of others near them."""
+    rng = np.random.default_rng(8)
+    d = rng.standard_normal(16)
+    m = np.concatenate([d * rng.uniform(0.1, 50, (n, 1)), d + 0.3 * rng.standard_normal((others, 16)), rng.standard_normal((others, 16))])
+    return m[rng.permutation(len(m))].astype(np.float32)
+
+
+def test_neighbours_of_one_direction(spark):
+    m = one_direction()
+    got = neighbours.similar_pairs(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG), budget=128)
+    got, want = {tuple(r) for r in got.collect()}, brute_pairs(m)
+    assert len(got & want) >= 0.99 * max(len(got), len(want))
+
+
+def test_clusters_of_one_direction(spark):
+    m = one_direction()
+    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), budget=128)
+    root = brute_roots(m)
+    size = np.bincount(root, minlength=len(m))
+    assert {(r.id, r.cluster_id) for r in got.collect()} == {(i, r) for i, r in enumerate(root) if size[r] >= 3}
+
+
+def test_cuts_through_equal_strings_overlap():
+    cuts = forest.prefix_blocks(np.zeros(1000, np.int64), 128, overlap=16)
+    assert cuts[0][0] == 0 and cuts[-1][1] == 1000 and all(a[1] - b[0] == 16 for a, b in zip(cuts, cuts[1:])) and max(b - a for a, b in cuts) <= 128
+
+
 def test_packing_is_lossless():
     for m in (np.float32([[0.5, -2], [1, 3]]), np.float32([[0.1, 1e30], [1, 2]])):
         a = vectors.pack(m)

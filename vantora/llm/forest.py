@@ -20,6 +20,8 @@ from .vectors import lists_to_matrices, pack, unit
 
 #: Trees of the forest, bits of a hash string, and candidates a row is compared with in each tree.
 TREES, BITS, BUDGET = 10, 48, 2048
+#: Cuts through equal strings share one row in so many with the cut before, so that a cluster is not cut with them.
+OVERLAP = 8
 #: Rows of a slice that a task holds at once.
 BUFFER = 32_768
 SEED = 20250101
@@ -53,10 +55,11 @@ def _hashed(trees: int, bits: int, seed: int):
     return run
 
 
-def prefix_blocks(h: np.ndarray, budget: int, bits: int = BITS) -> list[tuple[int, int]]:
+def prefix_blocks(h: np.ndarray, budget: int, bits: int = BITS, overlap: int = 0) -> list[tuple[int, int]]:
     """Cuts of a sorted hash array: longest prefixes whose rows fit the budget, small neighbours joined.
 
-    Rows whose full strings agree and exceed the budget are cut in the order they have.
+    Rows whose full strings agree and exceed the budget are cut in the order they have, and each cut shares
+    ``overlap`` rows with the one before.
     """
     leaves, stack = [], [(0, len(h), bits - 1)]
     while stack:
@@ -65,7 +68,7 @@ def prefix_blocks(h: np.ndarray, budget: int, bits: int = BITS) -> list[tuple[in
             if hi > lo:
                 leaves.append((lo, hi))
         elif bit < 0:
-            leaves += [(i, min(i + budget, hi)) for i in range(lo, hi, budget)]
+            leaves += [(i, min(i + budget, hi)) for i in range(lo, hi - overlap, budget - overlap)]
         else:
             mid = lo + int(np.searchsorted(h[lo:hi] >> bit & 1, 1))
             stack += [(mid, hi, bit - 1), (lo, mid, bit - 1)]
@@ -92,7 +95,7 @@ def _blocks(work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None], bud
         t = pa.Table.from_batches(parts).combine_chunks()
         rep, h, dim = t["rep"].to_numpy(), t["h"].to_numpy(), t["dim"][0].as_py()
         m = unit(vectors(t["vec"].chunk(0), dim))
-        cuts = prefix_blocks(h, budget, bits)
+        cuts = prefix_blocks(h, budget, bits, budget // OVERLAP)
         keep = [] if last else [t.slice(cuts[-1][0]).to_batches()[0]]
         return keep, [work(rep[lo:hi], m[lo:hi]) for lo, hi in (cuts if last else cuts[:-1])]
 

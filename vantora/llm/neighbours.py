@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, guarded_join
 from . import forest
-from .vectors import usable, with_copies
+from .vectors import lists_to_matrices, unit, usable, with_copies
 
 #: Neighbours kept for each row beyond k, so that leaving out the row itself never leaves fewer than k.
 SPARE = 1
 #: Rows with at least a fourth of the budget near them in a block lie in a crowd that may be larger than the
 #: block; they are searched again in a second forest with so many times the budget.
 CROWD_SHARE, CROWD_BUDGET = 4, 4
+#: What a cosine may be off by where vectors of one direction are one row, and ids of a direction that a task compares at once.
+SLACK, MEMBERS = 1e-6, 16_384
 
 
 def block_neighbours(k: int, least: float, crowd: int):
@@ -52,15 +54,53 @@ def block_neighbours(k: int, least: float, crowd: int):
     return work
 
 
+def _member_sims(k: int):
+    """Work on some rows and members of one direction: for each row its k most similar members."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("member")
+            ids, members = left["id"].to_numpy(), right["member"].to_numpy()
+            (_, a), (_, b) = next(lists_to_matrices(left["vector"])), next(lists_to_matrices(right["own"]))
+            a, b, top = unit(a), unit(b), min(k, len(members))
+            for lo in range(0, len(a), 256):
+                sims = np.round(a[lo : lo + 256] @ b.T, 12)
+                bound = np.partition(sims, -top, axis=1)[:, -top][:, None]
+                above, tied = sims > bound, sims == bound
+                r, c = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= top - above.sum(axis=1, keepdims=True))))
+                found.append((ids[lo + r], members[c], sims[r, c]))
+        return pa.table([np.concatenate(x) for x in zip(*found)], names=["id", "other", "sim"])
+
+    return work
+
+
+def _exact_members(all_rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(id, other, sim): for the ids of ``rep`` of each pair (rep, other) the k most similar ids of ``other``, by their own vectors."""
+    chunks = all_rows.where("id = rep").select(F.col("rep").alias("other"), F.ceil(F.col("n_copies") / MEMBERS).cast("int").alias("n"))
+    targets = cut(pairs.select("other").distinct().join(chunks, "other"))
+    asking = all_rows.select("rep", "id", "vector").join(pairs, "rep").join(targets, "other")
+    asking = asking.select("other", "id", "vector", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+    asked = guarded_join(all_rows.select(F.col("rep").alias("other"), F.col("id").alias("member"), F.col("vector").alias("own")), targets, ["other"], spread=F.col("member"))
+    asked = asked.select("other", "member", "own", F.pmod(F.xxhash64("member"), F.col("n")).cast("int").alias("chunk"))
+    return asking.groupBy("other", "chunk").cogroup(asked.groupBy("other", "chunk")).applyInArrow(_member_sims(k), "id long, other long, sim double")
+
+
 def most_similar(vectors: DataFrame, k: int, least: float, **forest_options) -> DataFrame:
     """(id, other, sim): for each id its k most similar ids of the same group with cosine >= ``least``.
 
-    ``vectors``: grp, id, vector, all usable. Ties go to the smaller id. Exact copies are one row of the
-    forest; afterwards each stands for the smallest of its ids. A group of one row has no neighbours.
+    ``vectors``: grp, id, vector, all usable. Ties go to the smaller id. Vectors of one direction are one row of
+    the forest; afterwards each stands for the smallest of its ids or, where the vectors differ by rounding, for
+    those that are nearest by their own vectors. A group of one row has no neighbours.
     """
     all_rows = with_copies(vectors)
     reps = all_rows.where("id = rep").select("grp", "rep", "vector")
     schema = "rep long, other long, sim double, crowded boolean"
+    mixed = not all_rows.where("mixed").isEmpty()
+    # by the direction's first vector a cosine may be off by the angle, and the order with it
+    given, wanted = least, k
+    if mixed:
+        least, k = least - SLACK, k + 3
     first = forest_options | {"budget": forest_options.get("budget", forest.BUDGET)}
     crowd = max(first["budget"] // CROWD_SHARE, 4 * k)
     # at most k rows of each tree meet in a group
@@ -77,6 +117,15 @@ def most_similar(vectors: DataFrame, k: int, least: float, **forest_options) ->
         both = F.flatten(F.collect_list("b"))
         lists = lists.unionByName(more).groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(both)), 1, k).alias("b"))
     near = lists.select("rep", F.inline("b")).select("rep", "other", (-F.col("far")).alias("sim"))
+    k, exact = wanted, None
+    if mixed:
+        near = cut(near)
+        kinds = all_rows.where("id = rep").select("rep", "n_copies", "mixed")
+        pairs = near.select("rep", "other").join(kinds, "rep").join(kinds.select(F.col("rep").alias("other"), F.col("mixed").alias("other_mixed")), "other")
+        # more than k of one direction need no others but those of cosine 1, whichever their vectors are
+        pairs = cut(pairs.where(f"(mixed or other_mixed) and n_copies <= {k}").select("rep", "other"))
+        exact = _exact_members(all_rows, pairs, k)
+        near = near.join(pairs, ["rep", "other"], "left_anti")
     # ids of exact copies, at most k + 1 of each group
     smallest = W.partitionBy("rep").orderBy("id")
     copies = (
@@ -91,7 +140,11 @@ def most_similar(vectors: DataFrame, k: int, least: float, **forest_options) ->
         .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other"))), 1, k + SPARE).alias("b"))
     )
     mine = all_rows.select("id", "rep").join(lists, "rep")
-    return mine.select("id", F.inline(F.slice(F.filter("b", lambda x: x.other != F.col("id")), 1, k))).select("id", "other", (-F.col("far")).alias("sim"))
+    out = mine.select("id", F.inline(F.slice(F.filter("b", lambda x: x.other != F.col("id")), 1, k))).select("id", "other", (-F.col("far")).alias("sim"))
+    if exact is None:
+        return out
+    out = out.unionByName(exact).where(F.col("sim") >= given)
+    return out.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other"))), 1, k).alias("b")).select("id", F.inline("b")).select("id", "other", (-F.col("far")).alias("sim"))
 
 
 def similar_pairs(requests: DataFrame, config: DataFrame, k: int = 5, least: float = 0.8, **forest_options) -> DataFrame:
