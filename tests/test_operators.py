@@ -234,3 +234,14 @@ def test_statistics(spark):
     assert rows(stats.plans(ask, stats.value_counts(r))) == [("p", "category,n", 0.125, "hybrid"), ("q", "none", 1.0, "post")]
     h = spark.createDataFrame([("a", 0.5), ("a", 5.0), ("a", 50.0), ("a", None)], "g string, v double")
     assert rows(stats.histogram(h, "g", "v", [1.0, 5.0, 10.0])) == [("a", 1.0, 1), ("a", 5.0, 2), ("a", 10.0, 2), ("a", math.inf, 3)]
+
+
+def test_adaptive_search_is_exact_above_its_threshold(spark):
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    got = __spark_entry__.queries()["adaptive_search"](spark, d)
+    want = knn.knn_join(v, q, 10)
+    assert v.count() >= 2000 and {(r.qid, r.id, r["rank"]) for r in got.collect()} == {(r.qid, r.id, r["rank"]) for r in want.collect()}

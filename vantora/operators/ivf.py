@@ -61,6 +61,17 @@ def flat_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k
     return knn.knn_join(assigned, queries, k, metric, probes=probe(queries, centroids, nprobe).select("qid", "list_id"))
 
 
+def exact_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """The k nearest by Euclidean distance as of all vectors: the nearest list of each query bounds its k-th distance,
+    and each list is searched that may hold a nearer vector, by the distance of its centroid and its radius."""
+    # at most MAX_LISTS lists, see assign()
+    radius = assigned.groupBy("list_id").agg(F.max("list_dist").alias("radius"))
+    first = flat_search(assigned, queries, centroids, k, 1).where(F.col("rank") == k).select("qid", F.col("score").alias("bound"))
+    pairs = probe(queries, centroids, MAX_LISTS).join(radius, "list_id").join(first, "qid", "left")
+    probes = cut(pairs.where("bound is null or score - radius <= bound + 1e-6").select("qid", "list_id"))
+    return knn.knn_join(assigned, queries, k, "l2", probes=probes)
+
+
 def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, list_id, vector): what is left of each vector without its centroid."""
     rows = assigned.join(F.broadcast(centroids), "list_id")  # at most MAX_LISTS rows, see assign()

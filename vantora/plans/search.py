@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import filters as flt
-from ..operators import fusion, knn, mutation, sparse, text
+from ..operators import fusion, ivf, knn, mutation, sparse, text
 from ..operators.knn_matrix import distance_table
 from ..session import table
 from .base import COLL, DEAD, DOCS, K, META, RANKINGS, Q, V, collection, cosine, dot, l2, l2sq, payload, queries, rankings, rounded, text_queries, tombstones, top, vectors
@@ -133,13 +133,12 @@ ADAPTIVE_ROWS = 2_000
 
 @query(f"with {COLL}, s as ({near_sql()}) {top('s')}")
 def adaptive_search(spark, d):
-    """Exact below ``ADAPTIVE_ROWS`` vectors, else through inverted lists with half of them probed."""
-    from .codecs import ivf_search
-
+    """All vectors below ``ADAPTIVE_ROWS``, else the trained lists that can hold a neighbour; the result is exact either way."""
     rows = vectors(spark, d)
     if rows.count() < ADAPTIVE_ROWS:
         return rounded(knn.knn_join(rows, queries(spark, d), K))
-    return rounded(ivf_search(spark, d, 5))
+    centroids = ivf.train_centroids(rows.select("id", "vector"), 16)
+    return rounded(ivf.exact_search(ivf.assign(rows.select("id", "vector"), centroids), queries(spark, d), centroids, K))
 
 
 @query(f"with {COLL}, s as ({near_sql()}), n as ({top('s', 100)}) {top('(select n.qid, n.id, n.score from n join meta using (id) where size > 20)')}")
