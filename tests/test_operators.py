@@ -245,3 +245,15 @@ def test_adaptive_search_is_exact_above_its_threshold(spark):
     got = __spark_entry__.queries()["adaptive_search"](spark, d)
     want = knn.knn_join(v, q, 10)
     assert v.count() >= 2000 and {(r.qid, r.id, r["rank"]) for r in got.collect()} == {(r.qid, r.id, r["rank"]) for r in want.collect()}
+
+
+@pytest.mark.parametrize("name", ["ivf_trained_search", "pq_trained_rerank", "rabitq_rotated_rerank"])
+def test_recall_of_trained_searches(spark, name):
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    share = recall(spark, __spark_entry__.queries()[name](spark, d), knn.knn_join(v, q, 10))
+    print(f"RECALL {name} {share:.3f}")
+    assert share >= 0.9

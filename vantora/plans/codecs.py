@@ -234,6 +234,36 @@ def rabitq_rerank(spark, d):
     return rounded(knn.rerank(quant.sign_search(rows, q, 5 * K), rows, q, K))
 
 
+# trained lists and codebooks and turned signs; tests/test_operators.py measures recall on whole tables
+
+LISTS, PROBES, SUBSPACES, SUBCODES, PQ_CANDIDATES, SIGN_CANDIDATES = 16, 12, 16, 64, 10 * K, 20 * K
+
+
+@query()
+def ivf_trained_search(spark, d):
+    rows = vectors(spark, d).select("id", "vector")
+    centroids = ivf.train_centroids(rows, LISTS)
+    return rounded(ivf.flat_search(ivf.assign(rows, centroids), queries(spark, d), centroids, K, PROBES))
+
+
+@query()
+def pq_trained_rerank(spark, d):
+    rows, q = vectors(spark, d), queries(spark, d)
+    pq = quant.ProductQuantizer.of(quant.train_codebook(rows, SUBSPACES, SUBCODES))
+    return rounded(knn.rerank(pq.search(pq.encode(rows), q, PQ_CANDIDATES), rows, q, K))
+
+
+@query()
+def rabitq_rotated_rerank(spark, d):
+    rows, q = vectors(spark, d), queries(spark, d)
+    dim = rows.where("vector is not null").select(F.size("vector").alias("n")).first()
+    if dim is None:
+        return rounded(knn.knn_join(rows, q, K))
+    turn = quant.rotation(dim.n)
+    near = quant.sign_search(quant.rotated(rows, turn), quant.rotated(q, turn, "qid", "qvec"), SIGN_CANDIDATES)
+    return rounded(knn.rerank(near, rows, q, K))
+
+
 @query(f"with {COLL}, s as (select qid, id, round({l2sq('qvec', 'vector')}, 9) as score from (select qid, list_transform(qvec, lambda x: round(x::double, 1)) as qvec from q) cross join (select id, list_transform(vector, lambda x: round(x::double, 1)) as vector from v)), c as ({top('s', 2 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def two_stage_rerank(spark, d):
     """Twice k candidates by coarse components (one digit), then exact distances."""
