@@ -63,6 +63,19 @@ def test_weights_of_a_query_add_up(spark):
     assert all(abs(r.w - 1) < 1e-9 for r in sums)
 
 
+def test_a_large_query_is_ordered_by_the_walk(spark, tmp_path):
+    from vantora.llm import queries
+
+    n, rng = 20_000, np.random.default_rng(4)
+    scores = rng.standard_normal((n, 3))
+    rows = [(1, i, *map(float, x), T) for i, x in enumerate(scores)]
+    spark.createDataFrame(rows, "query_id long, id long, vector_score double, text_score double, combined_score double, scored_at timestamp").write.parquet(f"{tmp_path}/hybrid_results.parquet")
+    _, weight = ranking.walk(np.ones(n, np.int64), scores * [1, -1, -1], steps=400)
+    want = np.lexsort((np.arange(n), -np.round(weight * n, 9)))
+    got = [r.id for r in queries.p4_ranking(spark, str(tmp_path)).orderBy("place").collect()]
+    assert len(got) == n and np.mean(np.array(got) == want) > 0.999
+
+
 def test_latest_row_counts_and_empty(spark):
     late = datetime(2025, 1, 2)
     rows = [(1, 1, 1.0, 1.0, 1.0, T, "", "", ""), (1, 1, 9.0, 1.0, 1.0, late, "", "", ""), (1, 2, 5.0, 1.0, 1.0, T, "", "", ""), (1, 2, 5.0, 1.0, 1.0, T, "", "", ""), (1, 3, 0.0, -0.0, 1.0, None, "", "", ""), (None, 1, 1.0, 1.0, 1.0, T, "", "", ""), (1, None, 1.0, 1.0, 1.0, T, "", "", "")]

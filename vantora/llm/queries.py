@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, guarded_join, table
 from . import clusters, distinctive, leakage, mojibake, neighbours, ranking, tokens
 from .vectors import usable
 
@@ -29,13 +29,20 @@ SCORES = [("vector_score", False), ("text_score", True), ("combined_score", True
 
 def p4_found(spark, d):
     """Items among the first five places by every score, from the walk's places."""
-    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES)
+    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES, steps=0)
     return ranked.where("p0 <= 5 and p1 <= 5 and p2 <= 5").select("query_id", "id")
 
 
+def rounded_weights(ranked):
+    """Weights to nine digits of the mean weight of their query, which is 1 / n."""
+    n = F.col("n")
+    sizes = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
+    return guarded_join(ranked, sizes, ["query_id"], spread=F.col("id")).withColumn("weight", F.round(F.col("weight") * n, 9) / n).drop("n")
+
+
 def p4_ranking(spark, d):
     """One ranking for each query, by the walk's weight; ties go to the smaller id."""
-    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES).withColumn("weight", F.round("weight", 9))
+    ranked = rounded_weights(cut(ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES)))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "id"))
     return ranked.select("query_id", "id", "weight", place.cast("long").alias("place"))
 
