@@ -83,6 +83,36 @@ def test_leaks(spark, monkeypatch, item_windows):
     assert {(0, 0), (0, 9), (3, 0), (4, 1), (5, 0), (5, 2), (10, 3)} <= got and not any(d in (1, 2) for d, _ in got)
 
 
+def test_similar_windows_equal_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(7)
+    items, texts = [], []
+    for i in range(60):
+        w = [rng.choice(WORDS) + str(rng.randrange(9)) * rng.choice([1, 9]) for _ in range(12)]
+        w[0], w[-1] = rng.choice("abcd"), rng.choice("abcd")
+        items.append((i, "s", " ".join(w), None, "t"))
+        w[rng.choice([0, 11, 11, 5])] = rng.choice("efg")
+        texts.append(" ".join(rng.choices(WORDS, k=9) + w + rng.choices(WORDS, k=9)))
+
+    def windows(text):
+        w = leakage.words(text)
+        at = range(len(w) - 11)
+        return [np.array([[leakage.xxhash.xxh3_64_intdigest(x.encode()) for x in w[i : i + 12]] for i in at], np.uint64), np.array([[len(x) for x in w[i : i + 12]] for i in at])]
+
+    want = {}
+    for d, t in enumerate(texts):
+        a, wa = windows(t)
+        for i, _, q, _, _ in items:
+            b, wb = windows(q)
+            best = leakage.weighted_similarity(a, np.repeat(b, len(a), 0), wa, np.repeat(wb, len(a), 0)).max()
+            if best >= leakage.SIMILAR:
+                want[d, i] = best
+    found = leakage.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM)).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    assert len(want) >= 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_leaks_of_the_test_tables(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     e = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet")

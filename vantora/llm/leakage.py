@@ -3,8 +3,10 @@
 Every text is read as words and cut into windows of as many words as a passage needs. A window's fingerprint
 is the SimHash of its words. Fingerprints are looked up in several indexes, one for each block of their bits:
 two fingerprints that differ in fewer bits than there are blocks agree in one block at least, so no pair
-within that radius is missed. Candidates are then compared exactly, by the weighted similarity of their
-word shingles and word by word.
+within that radius is missed. Windows may be similar and their fingerprints far apart, so for similar windows the
+word shingles are looked up too: of a window that is similar enough, any shingles with more of its weight than may
+differ hold one that the other has. Candidates are then compared exactly, by the weighted similarity of their word
+shingles and word by word.
 """
 
 from __future__ import annotations
@@ -112,6 +114,9 @@ class ItemIndex:
         self.owner_from = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
         bits = np.unpackbits(np.ascontiguousarray(self.rows).view(np.uint8).reshape(len(self.rows), window, 8), axis=2).astype(np.int32) if len(self.rows) else np.zeros((0, window, 64), np.int32)
         self.prints = np.packbits(bits.sum(axis=1) * 2 > window, axis=1).view(np.uint64).ravel() if len(self.rows) else np.zeros(0, np.uint64)
+        shingles = shingle_hashes(self.rows)
+        order = np.argsort(shingles, axis=None, kind="stable")
+        self.shingles, self.holder = shingles.ravel()[order], order // max(1, shingles.shape[1])
         self.tables = []
         for block in range(blocks):
             key = self.block(self.prints, block)
@@ -136,7 +141,28 @@ class ItemIndex:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _scan(index: ItemIndex, radius: int, similar: float):
+    def sharing(self, hashes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (position in ``starts``, window of an item), each once: all that may reach the similarity, and others."""
+        each = self.window - SHINGLE + 1
+        own = shingle_hashes(hashes[None, :])[0]
+        lo = np.searchsorted(self.shingles, own)
+        n = np.searchsorted(self.shingles, own, side="right") - lo
+        view = np.lib.stride_tricks.sliding_window_view
+        held = np.flatnonzero(view(n > 0, each).any(axis=1)[starts])
+        # the rarest shingles of each window, until they weigh more than what may differ
+        first = starts[held]
+        counts, weight = view(n, each)[first], view(np.convolve(sizes, np.ones(SHINGLE, np.int64), "valid"), each)[first]
+        order = np.argsort(counts, axis=1, kind="stable")
+        weight = np.take_along_axis(weight, order, 1)
+        before = np.cumsum(weight, axis=1) - weight
+        r, c = np.nonzero(before <= (1 - similar) * weight.sum(axis=1, keepdims=True) + 1e-6)
+        at = first[r] + order[r, c]
+        other = self.holder[np.repeat(lo[at] - np.r_[0, np.cumsum(n[at])[:-1]], n[at]) + np.arange(n[at].sum())] if len(at) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([np.repeat(held[r], n[at]), other], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+
+def _scan(index: ItemIndex, radius: int, similar: float | None):
     window = index.window
 
     def chunk(keys: list[int], texts: list[list[str]], hashes: _Hashes):
@@ -148,19 +174,22 @@ def _scan(index: ItemIndex, radius: int, similar: float):
         inside = owner[: len(h) - window + 1] == owner[window - 1 :]
         prints = fingerprints(h, window)
         starts = np.flatnonzero(inside)
+        sizes = np.array([len(w) for w in flat], np.int32)
         at, other = index.candidates(prints[starts], radius)
+        if similar is not None:
+            more = np.stack(index.sharing(h, sizes, starts, similar), axis=1)
+            at, other = np.unique(np.concatenate([np.stack([at, other], axis=1), more]), axis=0).T
         if not len(at):
             return None
         at = starts[at]
         mine = np.lib.stride_tricks.sliding_window_view(h, window)[at]
         theirs = index.rows[other]
         exact = (mine == theirs).all(axis=1)
-        sizes = np.array([len(w) for w in flat], np.int32)
         score = np.ones(len(at))
         rest = np.flatnonzero(~exact)
-        if len(rest):
+        if len(rest) and similar is not None:
             score[rest] = weighted_similarity(mine[rest], theirs[rest], np.lib.stride_tricks.sliding_window_view(sizes, window)[at[rest]], index.sizes[other[rest]])
-        keep = exact | (score >= similar)
+        keep = exact if similar is None else exact | (score >= similar)
         at, other, exact, score = at[keep], other[keep], exact[keep], score[keep]
         n = index.owner_from[other + 1] - index.owner_from[other]
         item = index.owner_of[np.repeat(index.owner_from[other] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(other) else np.zeros(0, np.int64)
@@ -199,11 +228,11 @@ def _scan(index: ItemIndex, radius: int, similar: float):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, blocks: int = BLOCKS, similar: float = SIMILAR) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, blocks: int = BLOCKS, similar: float | None = SIMILAR) -> DataFrame:
     """(doc_id, item_id, similarity, exact): corpus texts that hold a passage of an item's question or answer.
 
     ``exact``: ``window`` consecutive words of the item stand consecutively in the text; otherwise a window is
-    similar by its weighted shingles. Passages shorter than a window, null texts and rows with null ids give
+    similar by its weighted shingles; without ``similar`` only exact ones are looked for. Passages shorter than a window, null texts and rows with null ids give
     nothing; an item listed under two ids is reported under both. The items are a stated query set, taken in
     blocks of at most ``ITEM_WINDOWS`` windows; the corpus is read once for each block and never shuffled.
     """
