@@ -75,6 +75,22 @@ def guarded_join(
     )
 
 
+def skew_join(big: DataFrame, side: DataFrame, on: list[str], count: str, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+    """Join ``big`` with a side of unique keys that counts the rows of ``big`` with each key.
+
+    Keys with at least ``hot`` rows are joined by broadcast, so that none of them meets in one task; there are at
+    most rows / hot of them, and only a counted number of them is broadcast. All other keys are shuffled.
+    ``how``: inner or left.
+    """
+    heavy = side.where(F.col(count) >= hot)
+    n = heavy.limit(BROADCAST_ROWS + 1).count()
+    if n == 0 or n > BROADCAST_ROWS:
+        return big.join(side, on, how)
+    keys = F.broadcast(heavy.select(*on))
+    light = big.join(keys, on, "left_anti").join(side.where(F.col(count) < hot), on, how)
+    return big.join(F.broadcast(heavy), on).unionByName(light)
+
+
 def task_count(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows of ``per_task`` each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
