@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantora.llm import clusters, forest, neighbours, vectors
+from vantora.llm import clusters, features, forest, neighbours, vectors
 
 UPSERT = "req_no long, id long, coll_name string, vector array<float>, metadata map<string,string>, grp int, rep int"
 CONFIG = "coll_name string, dim int, distance string, vector int"
@@ -80,7 +80,7 @@ def test_clusters(spark, seed):
 
 def test_clusters_with_small_blocks(spark):
     m = sample(4, n=900)
-    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), budget=64)
+    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), region=64, leaves=16, merged=64)
     root = brute_roots(m)
     size = np.bincount(root, minlength=len(m))
     want = {(i, r) for i, r in enumerate(root) if size[r] >= 3}
@@ -121,11 +121,67 @@ def test_codebooks(spark):
     assert sorted((r.codebook_id, r.pos, r.first, r.size) for r in clusters.code_clusters(books).collect()) == [(3, i, 0, 4) for i in (0, 1, 2, 8)]
 
 
-def test_feature_leaves_cover_all_rows():
-    m = np.random.default_rng(0).standard_normal((700, 4))
-    leaves = clusters.feature_leaves(m, 0.3)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(700))
-    assert all(((m[x] - m[x[0]]) ** 2).sum(axis=1).max() <= 0.09 for x in leaves)
+def test_feature_trees_are_bounded_and_merge():
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((30, 8))
+    m = centres[rng.integers(0, 30, 3000)] + 0.05 * rng.standard_normal((3000, 8))
+    trees = []
+    for part in np.array_split(m, 5):
+        t = features.FeatureTree(8, 64)
+        t.add_rows(part)
+        assert len(t) <= 64 and t.n.sum() == len(part) and np.allclose(t.ls.sum(axis=0), part.sum(axis=0)) and np.isclose(t.ss.sum(), (part**2).sum())
+        assert np.bincount(t.node).max() <= features.FANOUT
+        trees.append(t)
+    both = features.FeatureTree(8, 64)
+    for t in trees:
+        both.add(t.n, t.ls, t.ss)
+    assert len(both) <= 64 and both.n.sum() == 3000 and np.allclose(both.ls.sum(axis=0), m.sum(axis=0))
+
+
+def test_ward_joins_the_cheapest_pair_first():
+    rng = np.random.default_rng(1)
+    for most in (1e9, 12):
+        n, c = rng.integers(1, 5, 25).astype(float), rng.standard_normal((25, 3))
+        groups = [[i] for i in range(25)]
+
+        def cost(a, b):
+            na, nb = n[a].sum(), n[b].sum()
+            if na + nb > most:
+                return np.inf
+            return na * nb / (na + nb) * ((np.average(c[a], axis=0, weights=n[a]) - np.average(c[b], axis=0, weights=n[b])) ** 2).sum()
+
+        while len(groups) > 1:
+            best = min((cost(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if best[0] == np.inf:
+                break
+            groups[best[1]] += groups.pop(best[2])
+        label = features.ward(n, c, most)
+        assert sorted(sorted(g) for g in groups) == sorted(np.flatnonzero(label == x).tolist() for x in np.unique(label))
+
+
+def exact_clusters(m):
+    root = brute_roots(m)
+    size = np.bincount(root, minlength=len(m))
+    return {(i, r) for i, r in enumerate(root) if size[r] >= 3}
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_clusters_of_a_crowd(spark, depth):
+    """More rows than a region holds lie within the radius of one cluster, others at its rim."""
+    rng = np.random.default_rng(6)
+    d = rng.standard_normal(16)
+    m = np.concatenate([d + 0.02 * rng.standard_normal((500, 16)), d + rng.choice([0.2, 0.25, 0.4], (60, 1)) * rng.standard_normal((60, 16)), rng.standard_normal((40, 16))])
+    m = m[rng.permutation(len(m))].astype(np.float32)
+    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), region=16, leaves=8, merged=16, depth=depth)
+    assert {(r.id, r.cluster_id) for r in got.collect()} == exact_clusters(m)
+
+
+def test_regions_that_are_many_meet_rows_in_salted_groups(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "is_small", lambda df: False)
+    m = sample(0)
+    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), region=32, leaves=16, merged=32)
+    want = exact_clusters(m)
+    assert len({(r.id, r.cluster_id) for r in got.collect()} & want) >= 0.95 * len(want)
 
 
 def test_prefix_blocks():
@@ -153,7 +209,7 @@ def test_neighbours_of_one_direction(spark):
 
 def test_clusters_of_one_direction(spark):
     m = one_direction()
-    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), budget=128)
+    got = clusters.members(vectors.usable(frame(spark, m), spark.createDataFrame([("c", 16, "l2", 0)], CONFIG)), region=128, leaves=64, merged=64)
     root = brute_roots(m)
     size = np.bincount(root, minlength=len(m))
     assert {(r.id, r.cluster_id) for r in got.collect()} == {(i, r) for i, r in enumerate(root) if size[r] >= 3}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import task_count
-from .vectors import lists_to_matrices, pack, unit
+from .vectors import lists_to_matrices, pack, unit, unpack
 
 #: Trees of the forest, bits of a hash string, and candidates a row is compared with in each tree.
 TREES, BITS, BUDGET = 10, 48, 2048
@@ -82,19 +82,10 @@ def prefix_blocks(h: np.ndarray, budget: int, bits: int = BITS, overlap: int = 0
 
 
 def _blocks(work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None], budget: int, bits: int):
-    def vectors(vec: pa.Array, dim: int) -> np.ndarray:
-        sizes = np.diff(np.frombuffer(vec.buffers()[1], np.int32)[vec.offset : vec.offset + len(vec) + 1])
-        out = np.empty((len(vec), dim), np.float32)
-        for width, kind in ((2, np.float16), (4, np.float32)):
-            at = np.flatnonzero(sizes == dim * width)
-            if len(at):
-                out[at] = np.frombuffer(b"".join(vec.take(pa.array(at)).to_pylist()), kind).reshape(-1, dim)
-        return out
-
     def flush(parts: list[pa.RecordBatch], last: bool):
         t = pa.Table.from_batches(parts).combine_chunks()
         rep, h, dim = t["rep"].to_numpy(), t["h"].to_numpy(), t["dim"][0].as_py()
-        m = unit(vectors(t["vec"].chunk(0), dim))
+        m = unit(unpack(t["vec"].chunk(0), dim))
         cuts = prefix_blocks(h, budget, bits, budget // OVERLAP)
         keep = [] if last else [t.slice(cuts[-1][0]).to_batches()[0]]
         return keep, [work(rep[lo:hi], m[lo:hi]) for lo, hi in (cuts if last else cuts[:-1])]

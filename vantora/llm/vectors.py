@@ -91,6 +91,17 @@ def pack(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
+def unpack(column: pa.Array, dim: int) -> np.ndarray:
+    """The float32 rows of what ``pack`` made."""
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    out = np.empty((len(column), dim), np.float32)
+    for width, kind in ((2, np.float16), (4, np.float32)):
+        at = np.flatnonzero(sizes == dim * width)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), kind).reshape(-1, dim)
+    return out
+
+
 def lists_to_matrices(column: pa.Array):
     """Splits an array column by length: (row numbers, matrix) for each length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
