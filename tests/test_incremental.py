@@ -39,11 +39,54 @@ def test_replication_is_published_at_once(spark):
     runs = spark.createDataFrame([("a", "p", 1, T[1], "Synced", 1), ("b", "z", None, T[1], "Error", 1)], RUN)
     store = inc.CommittedRuns(spark, shared_path(spark, "replicate"))
     assert [tuple(r) for r in store.replicate(entries, runs).collect()] == [("a", 2)] and store.committed() == [1]
-    mark = {r.replica: r.last_seq for r in spark.read.json(f"{store.root}/run-1/mark").collect()}
-    assert mark["a"] == 2
+    assert {r.replica: r.low_seq for r in store.marks().collect()} == {"a": 2, "b": None}
     assert store.replicate(entries.limit(0), runs).collect() == [] and store.committed() == [1, 2]
 
 
+def test_replication_resumes_from_what_it_published(spark):
+    first = [("p", i, T[2], "Insert", "c", i, None, 0) for i in range(1, 6)]
+    later = [("p", 3, T[4], "Delete", "c", 3, None, 0), ("p", 4, T[4], "Insert", "c", 4, None, 0), ("p", 6, T[4], "Insert", "c", 6, None, 0), ("p", 0, T[5], "Insert", "c", 0, None, 0)]
+    runs = spark.createDataFrame([("a", "p", 2, T[3], "Synced", 1), ("b", "p", None, None, "Error", 1)], RUN)
+    store = inc.CommittedRuns(spark, shared_path(spark, "resume"))
+    one, two = spark.createDataFrame(first, ENTRY), spark.createDataFrame(first + later, ENTRY)
+    assert sorted(tuple(r) for r in store.replicate(one, runs).collect()) == [("a", 3), ("a", 4), ("a", 5)] + [("b", i) for i in range(1, 6)]
+    assert store.replicate(one, runs).collect() == []
+    # a run that dies before it publishes leaves nothing behind
+    publish, store.publish = store.publish, lambda *a: 1 / 0
+    try:
+        store.replicate(two, runs)
+    except ZeroDivisionError:
+        pass
+    store.publish = publish
+    assert store.committed() == [1, 2]
+    want = [(r, i) for r in "ab" for i in (0, 3, 6)]  # new, changed, late; 4 is a repeated entry
+    assert sorted(tuple(r) for r in store.replicate(two, runs).collect()) == want
+    assert store.replicate(two, runs).collect() == []
+
+
+def test_two_writers_of_one_run(spark):
+    store = inc.CommittedRuns(spark, shared_path(spark, "writers"))
+    rows, mark = spark.createDataFrame([(1,)], "n long"), spark.createDataFrame([(1, None)], "seq long, key string")
+    store.publish(1, rows, mark)
+    try:
+        store.publish(1, rows.where("n > 1"), mark)
+        raise AssertionError("published twice")
+    except RuntimeError:
+        pass
+    assert store.rows(1).count() == 1 and store.committed() == [1]
+
+
+def test_rows_of_one_instant_come_once(spark):
+    store = inc.CommittedRuns(spark, shared_path(spark, "instants"))
+    parts = [[(1, "a"), (2, "b")], [(1, "a"), (2, "b"), (2, "c")], [(2, "c"), (2, "d"), (2, "b")], [(2, "d"), (3, "e"), (None, "f")]]
+    got = []
+    for part in parts:
+        run = store.process(spark.createDataFrame(part, "n long, v string"), "n", key=["v"])
+        got.append(sorted(r.v for r in store.rows(run).collect()))
+    assert got == [["a", "b"], ["c"], ["d"], ["e"]]
+    assert store.process(spark.createDataFrame(parts[3], "n long, v string"), "n", key=["v"]) is None
+
+
 def test_empty(spark):
     e, r = spark.createDataFrame([], ENTRY), spark.createDataFrame([], RUN)
     assert inc.changes_since(e, inc.last_success(r), inc.upper_bound(e)).collect() == []

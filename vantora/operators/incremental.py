@@ -2,17 +2,20 @@
 
 A run fixes its upper bound when it starts, selects what lies between the watermark and that bound, and
 publishes the selected rows together with the new watermark by one rename. A run that dies before the
-rename leaves no trace that a later run reads; one that dies after it is complete.
+rename leaves no trace that a later run reads; one that dies after it is complete. The next run starts from
+what was published, so nothing is skipped and nothing comes twice.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, guarded_join
+from ..session import cut, delete_path, file_names, guarded_join, publish_text, read_text
 
 #: Absent parts of a fingerprint must differ from every present text.
 _NONE = "\u0000"
@@ -83,70 +86,91 @@ def changes_since(entries: DataFrame, marks: DataFrame, bound: DataFrame | None
 
 @dataclass
 class CommittedRuns:
-    """Runs of one consumer under ``root``: ``run-N`` folders that appear by a rename, rows and watermark at once.
+    """Runs of one consumer under ``root``: a manifest ``run-N`` names the run's folder of rows and watermark.
 
-    The file system's rename of a folder must be atomic, as on HDFS or a local disk.
+    Rows and watermark are written into a folder of their own name; the manifest then appears by one rename, so a
+    run is there as a whole or not at all, and a run that dies leaves a folder that nobody reads. Two writers
+    of one number have different folders, and only one gets the manifest.
     """
 
     spark: SparkSession
     root: str
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
     def committed(self) -> list[int]:
         """Numbers of the runs that were published."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
-        return sorted(int(n[4:]) for n in names if n.startswith("run-"))
-
-    def watermark(self) -> dict | None:
-        """The watermark of the last published run, or None before the first."""
+        return sorted(int(n[4:]) for n in file_names(self.spark, self.root) if n.startswith("run-"))
+
+    def _folder(self, run: int) -> str:
+        return json.loads(read_text(self.spark, f"{self.root}/run-{run}"))["folder"]
+
+    def marks(self, run: int | None = None) -> DataFrame | None:
+        """The watermarks that a run (the last one) published, or None before the first."""
         runs = self.committed()
         if not runs:
             return None
-        return self.spark.read.json(f"{self.root}/run-{runs[-1]}/mark").first().asDict()
+        return self.spark.read.parquet(f"{self._folder(runs[-1] if run is None else run)}/mark")
 
     def rows(self, run: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/run-{run}/rows")
+        return self.spark.read.parquet(f"{self._folder(run)}/rows")
 
     def publish(self, run: int, rows: DataFrame, mark: DataFrame) -> DataFrame:
-        """Writes rows and watermark into a working folder, renames it once, and gives the published rows."""
-        fs, path = self._fs()
-        work = f"{self.root}/_work-{run}"
-        fs.delete(path(work), True)
-        rows.write.parquet(f"{work}/rows")
-        mark.coalesce(1).write.json(f"{work}/mark")
-        if fs.exists(path(f"{self.root}/run-{run}")) or not fs.rename(path(work), path(f"{self.root}/run-{run}")):
+        """Writes rows and watermark, publishes both at once, and gives the published rows."""
+        folder = f"{self.root}/data/{run}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{folder}/rows")
+        mark.coalesce(1).write.parquet(f"{folder}/mark")
+        if not publish_text(self.spark, f"{self.root}/run-{run}", json.dumps({"folder": folder})):
+            delete_path(self.spark, folder)
             raise RuntimeError(f"run {run} was published by another writer")
-        return self.rows(run)
+        return self.spark.read.parquet(f"{folder}/rows")
 
     def replicate(self, entries: DataFrame, runs: DataFrame) -> DataFrame:
         """One run for all replicas: what is new or changed since each one's watermark, up to a bound fixed at the start.
 
-        The new watermarks (the bound, as replica, last_seq, last_sync) are published with the rows.
+        A replica's watermark is the one this consumer published last; ``runs`` gives those of replicas that it does
+        not know yet. The new watermarks (the bound, never below the old one) are published with the rows, so
+        a second run over the same entries gives none. Entries without an arrival are new by their seq only.
         """
-        marks = last_success(runs)
+        earlier = self.committed()
+        seed = last_success(runs)
+        marks = seed
+        if earlier:
+            known = self.marks().select("replica", "primary_addr", "low_seq", "low_time")
+            marks = cut(known.unionByName(seed.join(known, ["replica", "primary_addr"], "left_anti")))
         bound = cut(upper_bound(entries))
         found = changes_since(entries, marks, bound)
-        new = marks.join(bound, "primary_addr", "left").select("replica", "primary_addr", F.col("high_seq").alias("last_seq"), F.col("high_time").alias("last_sync"))
-        return self.publish((self.committed() or [0])[-1] + 1, found, new)
+        new = marks.join(bound, "primary_addr", "left").select("replica", "primary_addr", F.greatest("low_seq", "high_seq").alias("low_seq"), F.greatest("low_time", "high_time").alias("low_time"))
+        return self.publish((earlier or [0])[-1] + 1, found, new)
 
-    def process(self, source: DataFrame, seq: str, transform=lambda df: df) -> int | None:
+    def process(self, source: DataFrame, seq: str, transform=lambda df: df, key: list[str] | None = None) -> int | None:
         """Process the rows of ``source`` above the watermark, once; gives the run's number, None if none is new.
 
         The bound is read first, so rows that arrive while the run works belong to the next one. ``seq`` must
-        grow with every commit and not be null; rows with a null ``seq`` are never selected.
+        not fall from commit to commit; rows with a null ``seq`` are never selected. Where several rows may have one
+        ``seq``, and one of them may come after a run has seen the others, ``key`` names the columns that tell
+        rows apart: rows at the watermark itself are then taken again unless their key was processed. Keys must be
+        unique within a ``seq``; the published mark holds those at the bound.
         """
-        mark = self.watermark()
-        low = mark["seq"] if mark else None
-        newer = source if low is None else source.where(F.col(seq) > F.lit(low))
+        runs = self.committed()
+        mark = self.marks() if runs else None
+        newer = source.where(F.col(seq).isNotNull())
+        if mark is not None:
+            low = mark.select(F.max("seq")).first()[0]
+            if key is None:
+                newer = newer.where(F.col(seq) > F.lit(low))
+            else:
+                seen = mark.where("key is not null").select(F.col("seq").alias(seq), F.col("key").alias("_key"))
+                newer = newer.where(F.col(seq) >= F.lit(low)).withColumn("_key", F.to_json(F.struct(*key))).join(seen, [seq, "_key"], "left_anti").select(*source.columns)
         high = newer.agg(F.max(seq)).first()[0]
         if high is None:
             return None
-        run = (self.committed() or [0])[-1] + 1
-        self.publish(run, transform(newer.where(F.col(seq) <= F.lit(high))), self.spark.createDataFrame([(high,)], "seq long"))
+        run = (runs or [0])[-1] + 1
+        taken = newer.where(F.col(seq) <= F.lit(high))
+        if key is None:
+            new = self.spark.createDataFrame([(high, None)], "seq long, key string")
+        else:
+            taken = cut(taken)  # the rows and their keys must be of one reading
+            new = taken.where(F.col(seq) == F.lit(high)).select(F.col(seq).cast("long").alias("seq"), F.to_json(F.struct(*key)).alias("key"))
+            if mark is not None and high == low:
+                new = new.unionByName(mark.where("key is not null").select("seq", "key"))
+        self.publish(run, transform(taken), new)
         return run

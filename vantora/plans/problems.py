@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import changefeed, incremental, wide
@@ -16,12 +17,15 @@ def p2_found(spark, d):
 
 
 def p2_published(spark, d):
-    """Two successive committed runs over the log, the rows of both: each entry's arrival once."""
-    entries = table(spark, d, "wal_entries").where("arrived_at is not null").select("primary_addr", "seq", "op", F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("at"))
+    """Two successive committed runs over the log, the rows of both: each row once, also those of one instant."""
+    at = F.coalesce(F.unix_micros(F.col("arrived_at").cast("timestamp")), F.lit(0))  # rows without an arrival come first
+    same = F.row_number().over(W.partitionBy(at, "primary_addr", "seq", "op").orderBy(F.lit(0)))
+    entries = table(spark, d, "wal_entries").select("primary_addr", "seq", "op", at.alias("at"), same.alias("copy"))
     runs = incremental.CommittedRuns(spark, shared_path(spark, "p2-runs"))
     middle = entries.agg(F.expr("percentile_approx(at, 0.5)")).first()[0]
-    for part in (entries.where(F.col("at") <= F.lit(middle)), entries):
-        runs.process(part, "at")
+    # the first run sees only some of the rows that arrived at its last instant
+    for part in (entries.where((F.col("at") < F.lit(middle)) | ((F.col("at") == F.lit(middle)) & (F.col("seq") % 2 == 0))), entries):
+        runs.process(part, "at", key=["primary_addr", "seq", "op", "copy"])
     out = None
     for n in runs.committed():
         rows = runs.rows(n).select("primary_addr", "seq", "op")
@@ -29,6 +33,21 @@ def p2_published(spark, d):
     return out if out is not None else entries.select("primary_addr", "seq", "op")
 
 
+def p2_resumed(spark, d):
+    """Two runs of replication: over what had arrived by the middle of the log's time, then over all of it."""
+    entries = table(spark, d, "wal_entries").where("arrived_at is not null")
+    runs = incremental.CommittedRuns(spark, shared_path(spark, "p2-resumed"))
+    middle = entries.agg(F.expr("(min(unix_micros(cast(arrived_at as timestamp))) + max(unix_micros(cast(arrived_at as timestamp)))) div 2")).first()[0]
+    replicas = table(spark, d, "replica_state").limit(0)
+    every = table(spark, d, "replica_state").select("replica", "primary_addr", F.lit(None).cast("long").alias("last_seq"), F.lit(None).cast("timestamp_ntz").alias("last_sync"), F.lit("Error").alias("status"))
+    replicas = replicas.select("replica", "primary_addr", "last_seq", "last_sync", "status").unionByName(every)
+    out = None
+    for number, part in enumerate((entries.where(F.unix_micros(F.col("arrived_at").cast("timestamp")) <= F.lit(middle)), entries), 1):
+        rows = runs.replicate(part, replicas).withColumn("run", F.lit(number).cast("bigint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p3_found(spark, d):
     entries = table(spark, d, "metadata_entries")
     return wide.filled_cells(wide.wide_table(entries))
@@ -45,7 +64,7 @@ def p7_found(spark, d):
     return changefeed.live_keys(table(spark, d, "wal_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_published, p3_found, p3_wide, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_published, p2_resumed, p3_found, p3_wide, p7_found)}
 
 SQL = {
     "p2_found": """
@@ -93,6 +112,18 @@ SQL = {
             else v end as cell
           from numbers)
         select id, attr, cell from typed where cell is not null""",
-    "p2_published": "select primary_addr, seq, op from wal_entries where arrived_at is not null",
+    "p2_published": "select primary_addr, seq, op from wal_entries",
+    "p2_resumed": """
+        with given as (select *, epoch_us(arrived_at) as us from wal_entries where arrived_at is not null),
+        mid as (select (min(us) + max(us)) // 2 as m from given),
+        half as (select primary_addr, max(seq) as high_seq, max(us) as high_at from given, mid where us <= m and primary_addr is not null group by primary_addr),
+        reps as (select distinct replica, primary_addr from replica_state where replica is not null and primary_addr is not null),
+        versions as (
+          select primary_addr, seq, min(us) as first_at, max(us) as last_at, count(distinct (op, coll_name, id, payload)) > 1 as changed
+          from given where primary_addr is not null and seq is not null group by all)
+        select distinct replica, seq, 1::bigint as run from given join reps using (primary_addr), mid where us <= m and seq is not null
+        union all
+        select replica, seq, 2 from versions join reps using (primary_addr) left join half using (primary_addr)
+        where high_seq is null or seq > high_seq or first_at > high_at or (changed and last_at > high_at)""",
     "p7_found": REPLAY,
 }

@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, one machine) a temporary folder is made and set once.
+    Where a session on one machine has none (tests) a temporary folder is made and set once; on a cluster that is an error.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not conf and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         conf = conf or f"file://{tempfile.mkdtemp(prefix='vantora-')}"
         sc.setCheckpointDir(conf)
         current = sc.getCheckpointDir()
@@ -39,6 +41,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no folder."""
+    fs, path = _hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, path = _hadoop(spark, path)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file appear at once under a name that is free; False where another writer has it.
+
+    The file is written aside and renamed. A file is renamed, never a folder: HDFS refuses to rename a file onto
+    an existing one, where it would move a folder into an existing one.
+    """
+    fs, target = _hadoop(spark, path)
+    fs.mkdirs(target.getParent())
+    work = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(work, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(target) and fs.rename(work, target):
+        return True
+    fs.delete(work, False)
+    return False
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    fs, path = _hadoop(spark, path)
+    return fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives lost executors."""
     shared_dir(df.sparkSession)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import metric_of
 from ..operators import filters, knn, mutation
+from ..session import delete_path, file_names, publish_text, read_text
 
 SCHEMA = "id long, vector array<float>, metadata map<string,string>"
 
@@ -37,17 +38,12 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def names(self) -> list[str]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and self._last(s.getPath().getName()) is not None)
+        return [n for n in file_names(self.spark, self.root) if self._last(n) is not None]
 
     def _numbers(self, name: str) -> list[int]:
-        folder = self._path(f"{self.root}/{name}/manifests")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+        return sorted(int(n) for n in file_names(self.spark, f"{self.root}/{name}/manifests") if n.isdigit())
 
     def _last(self, name: str) -> int | None:
         numbers = self._numbers(name)
@@ -57,25 +53,12 @@ class Catalog:
         number = self._last(name) if number is None else number
         if number is None:
             raise KeyError(f"no collection {name}")
-        stream = self._fs.open(self._path(f"{self.root}/{name}/manifests/{number}"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
+        return json.loads(read_text(self.spark, f"{self.root}/{name}/manifests/{number}"))
 
     def publish(self, name: str, manifest: dict, after: int | None) -> None:
-        """The next manifest, unless another writer published it first."""
-        folder = f"{self.root}/{name}/manifests"
-        self._fs.mkdirs(self._path(folder))
+        """The manifest after the one that was read, unless another writer published it first."""
         number = 0 if after is None else after + 1
-        work = self._path(f"{folder}/_{uuid.uuid4().hex}")
-        out = self._fs.create(work, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        target = self._path(f"{folder}/{number}")
-        if self._fs.exists(target) or not self._fs.rename(work, target):
-            self._fs.delete(work, False)
+        if not publish_text(self.spark, f"{self.root}/{name}/manifests/{number}", json.dumps(manifest)):
             raise RuntimeError(f"{name} was changed by another writer")
 
     def create(self, name: str, config: Config | None = None) -> Collection:
@@ -89,7 +72,7 @@ class Catalog:
         return Collection(self, name)
 
     def drop(self, name: str) -> bool:
-        return self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        return delete_path(self.spark, f"{self.root}/{name}")
 
 
 @dataclass
@@ -152,24 +135,28 @@ class Collection:
         self.catalog.publish(self.name, state | {"data": [*state["data"], data], "dead": [*state["dead"], dead], "next_id": state["next_id"] + rows.count()}, number)
         return rows.select("old_id", "id")
 
-    def _rewrite(self, rows: DataFrame, **changes) -> None:
-        number, state = self._state()
+    def _rewrite(self, number: int, state: dict, rows: DataFrame, **changes) -> str:
+        """The next state with these rows only; an error if the state is no longer the one that was read."""
         folder = self._write(rows)
         self.catalog.publish(self.name, state | {"data": [folder], "dead": []} | changes, number)
+        return folder
 
     def patch(self, patches: DataFrame) -> None:
-        """Merges metadata (id, patch) into live rows key by key."""
-        rows = self.rows().join(patches.select("id", F.col("patch")), "id", "left")
-        self._rewrite(rows.select("id", "vector", F.when(F.col("patch").isNotNull(), mutation.patched(F.col("metadata"), F.col("patch"))).otherwise(F.col("metadata")).alias("metadata")))
+        """Merges metadata (id, patch) into live rows key by key; of several patches of an id the greater map's text counts last."""
+        number, state = self._state()
+        one = patches.groupBy("id").agg(F.max_by("patch", F.to_json("patch")).alias("patch"))
+        rows = self._rows(state).join(one, "id", "left")
+        metadata = F.when(F.col("patch").isNotNull(), mutation.patched(F.col("metadata"), F.col("patch"))).otherwise(F.col("metadata"))
+        self._rewrite(number, state, rows.select("id", "vector", metadata.alias("metadata")))
 
     def compact(self) -> dict:
-        """Drops deleted rows and renumbers the rest densely; all metadata stays."""
-        _, state = self._state()
-        before = self.catalog.spark.read.schema(SCHEMA).parquet(*state["data"]).count() if state["data"] else 0
-        rows = mutation.compacted(self._rows(state), self._dead(state).limit(0))
-        folder = self._write(rows.select("id", "vector", "metadata"))
-        after = self.catalog.spark.read.schema(SCHEMA).parquet(folder).count()
-        self.catalog.publish(self.name, state | {"data": [folder], "dead": [], "next_id": after}, self.catalog._last(self.name))
+        """Drops deleted rows and renumbers the rest densely; all metadata stays. A change made meanwhile is an error, not lost."""
+        number, state = self._state()
+        spark = self.catalog.spark
+        before = spark.read.schema(SCHEMA).parquet(*state["data"]).count() if state["data"] else 0
+        rows = mutation.compacted(self._rows(state), self._dead(state).limit(0)).select("id", "vector", "metadata")
+        after = before - self._dead(state).count()
+        self._rewrite(number, state, rows, next_id=after)
         return {"before": before, "after": after, "removed": before - after}
 
     def snapshot(self) -> int:
@@ -177,8 +164,23 @@ class Collection:
         return self._state()[0]
 
     def snapshots(self) -> list[int]:
+        """Numbers of the states that can be read."""
         return self.catalog._numbers(self.name)
 
+    def drop_snapshot(self, snapshot: int) -> bool:
+        """Forgets an older state; its folders go with it where no other state needs them. The newest state stays."""
+        if snapshot == self._state()[0]:
+            raise ValueError("the newest state can't be dropped")
+        if snapshot not in self.snapshots():
+            return False
+        gone = self.catalog.read(self.name, snapshot)
+        delete_path(self.catalog.spark, f"{self.catalog.root}/{self.name}/manifests/{snapshot}")
+        needed = {f for n in self.snapshots() for f in (lambda m: m["data"] + m["dead"])(self.catalog.read(self.name, n))}
+        for folder in gone["data"] + gone["dead"]:
+            if folder not in needed and folder.startswith(f"{self.catalog.root}/{self.name}/"):
+                delete_path(self.catalog.spark, folder)
+        return True
+
     def restore(self, snapshot: int, as_name: str | None = None) -> Collection:
         """Back to a state, or that state as another collection."""
         state = self.catalog.read(self.name, snapshot)
