@@ -58,6 +58,18 @@ def test_walk(spark, options):
         assert got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9, k
 
 
+@pytest.mark.parametrize("options", [{}, {"task_items": 5, "block": 4}])
+def test_leaders_are_all_items_of_the_first_places(spark, options):
+    rows = rows_of(7, queries=12 if not options else 2, items=60 if not options else 20)
+    want = {k for k, (places, _) in brute(rows, steps=0).items() if all(p is not None and p <= 5 for p in places)}
+    ranked = ranking.rank_walk(spark.createDataFrame(rows, ROW), SCORES, **options)
+    assert {tuple(r) for r in ranking.leaders(ranked, 5, 3).collect()} == want and want
+    for q, group in __import__("itertools").groupby(sorted((r.query_id, -r.weight, r.id, r.place, r.ahead) for r in ranked.collect()), key=lambda r: r[0]):
+        group = list(group)
+        assert [r[3] for r in group] == list(range(1, len(group) + 1))
+        assert [r[4] for r in group] == [sum(o[1] < r[1] for o in group) for r in group]
+
+
 def test_weights_of_a_query_add_up(spark):
     sums = ranking.rank_walk(spark.createDataFrame(rows_of(3), ROW), SCORES).groupBy("query_id").agg(F.sum("weight").alias("w")).collect()
     assert all(abs(r.w - 1) < 1e-9 for r in sums)

@@ -27,7 +27,9 @@ from .graph import components, join_labels
 from .vectors import lists_to_matrices, pack, unit, unpack, usable, with_copies
 
 #: Leaves of a task's tree and of a merged tree, leaves of all trees of a task, trees that one reduction merges.
-LEAVES, MERGED_LEAVES, TASK_LEAVES, FAN = 256, 1_024, 65_536, 16
+LEAVES, MERGED_LEAVES, TASK_LEAVES, FAN = 256, 512, 65_536, 16
+#: Rows of a group that a task gathers before they enter its tree.
+GATHER = 1_024
 #: Rows of a region that Ward's agglomeration may join, and times that more for a region to be built anew.
 REGION, OVERSIZE = 2_048, 4
 #: Regions of a row at most, and standard deviations within which a region counts as about as near as the nearest:
@@ -57,19 +59,29 @@ def _grow(most: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         trees: dict[tuple[int, int], FeatureTree] = {}
+        waiting: dict[tuple[int, int], list[np.ndarray]] = {}
+
+        def enter(key) -> None:
+            trees.setdefault(key, FeatureTree(key[1], most)).add_rows(np.concatenate(waiting.pop(key)))
+
         for b in batches:
             grp = np.asarray(b.column("grp"))
             for at, m in lists_to_matrices(b.column("vector")):
-                m, own = unit(m), grp[at]
+                own = grp[at]
                 for g in np.unique(own):
                     key = (int(g), m.shape[1])
-                    if key not in trees:
-                        trees[key] = FeatureTree(m.shape[1], most)
-                    trees[key].add_rows(m[own == g])
+                    waiting.setdefault(key, []).append(unit(m[own == g]))
+                    if sum(map(len, waiting[key])) >= GATHER:
+                        enter(key)
             # leaves merge later as well as now, so full trees can be given away at any time
+            if sum(len(x) for w in waiting.values() for x in w) > TASK_LEAVES:
+                for key in list(waiting):
+                    enter(key)
             while sum(map(len, trees.values())) > TASK_LEAVES:
                 key = max(trees, key=lambda k: len(trees[k]))
                 yield leaves(key[0], trees.pop(key), part)
+        for key in list(waiting):
+            enter(key)
         for key, tree in trees.items():
             yield leaves(key[0], tree, part)
 

@@ -13,7 +13,9 @@ FANOUT = 48
 #: Features inserted at once.
 CHUNK = 1_024
 #: Share of the leaves that the next threshold lets a full tree merge, and least growth of the threshold.
-MERGED_SHARE, GROWTH = 0.3, 1.05
+MERGED_SHARE, GROWTH = 0.5, 1.05
+#: Share of the first rows that the first threshold lets merge, where they are more than the leaves may be.
+FIRST_SHARE = 0.85
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,7 +82,11 @@ class FeatureTree:
         # what no leaf absorbs becomes leaves, which absorb each other in order
         d2 = _squares(centre[rest], centre[rest])
         left, leaders, leader_of = np.ones(len(rest), bool), [], np.empty(len(rest), np.int64)
-        joined = _cost(n[rest][:, None], n[rest], d2) <= self.threshold
+        cost = _cost(n[rest][:, None], n[rest], d2)
+        if not len(self) and not self.threshold and len(rest) > self.most:
+            np.fill_diagonal(cost, np.inf)
+            self.threshold = float(np.quantile(cost.min(axis=1), FIRST_SHARE))
+        joined = cost <= self.threshold
         np.fill_diagonal(joined, True)
         for i in range(len(rest)):
             if left[i]:
@@ -135,31 +141,32 @@ def ward(n: np.ndarray, centre: np.ndarray, most: float) -> np.ndarray:
     label = np.arange(count)
     if count < 2:
         return label
-    n = n.astype(np.float64).copy()
-    cost = _squares(centre, centre) * (n[:, None] * n) / (n[:, None] + n)
+    n = n.astype(np.float64)
+    cost = _cost(n[:, None], n, _squares(centre, centre))
     cost[n[:, None] + n > most] = np.inf
     np.fill_diagonal(cost, np.inf)
     near = cost.argmin(axis=1)
     least = cost[np.arange(count), near]
+    centre, square = centre.copy(), (centre**2).sum(axis=1)
     for _ in range(count - 1):
         i = int(least.argmin())
         if not np.isfinite(least[i]):
             break
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        # Lance and Williams: the cost of the joined feature against each other one, also of pairs too large to join
+        i, j = sorted((i, int(near[i])))
         total = n[i] + n[j]
         c = (n[i] * centre[i] + n[j] * centre[j]) / total
-        centre = centre if centre.flags.writeable else centre.copy()
-        centre[i], n[i], n[j] = c, total, np.inf
-        d2 = np.maximum((centre**2).sum(axis=1) + c @ c - 2 * centre @ c, 0)
-        with np.errstate(invalid="ignore"):
-            row = np.where(np.isfinite(n) & (n + total <= most), d2 * total * n / (total + n), np.inf)
+        centre[i], square[i], n[i], n[j] = c, c @ c, total, np.inf
+        # the joined feature against each other one that is left and not too large
+        row = np.full(count, np.inf)
+        fits = np.flatnonzero(n + total <= most)
+        row[fits] = total * n[fits] / (total + n[fits]) * np.maximum(square[fits] + square[i] - 2 * centre[fits] @ c, 0)
         row[i] = np.inf
         cost[i, :], cost[:, i], cost[j, :], cost[:, j] = row, row, np.inf, np.inf
         label[label == j] = i
-        stale = np.flatnonzero((near == i) | (near == j) | (row < least))
-        stale = np.unique(np.r_[stale, i])
+        lower = row < least
+        stale = np.flatnonzero(((near == i) | (near == j)) & ~lower)
+        near[lower], least[lower] = i, row[lower]
+        stale = np.union1d(stale, [i])
         near[stale] = cost[stale].argmin(axis=1)
         least[stale] = cost[stale, near[stale]]
         least[j] = np.inf

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, guarded_join, table
+from ..session import table
 from . import clusters, distinctive, leakage, mojibake, neighbours, ranking, tokens
 from .vectors import usable
 
@@ -28,28 +27,19 @@ SCORES = [("vector_score", False), ("text_score", True), ("combined_score", True
 
 
 def p4_found(spark, d):
-    """Items among the first five places by every score, from the walk's places."""
-    ranked = ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES, steps=0)
-    return ranked.where("p0 <= 5 and p1 <= 5 and p2 <= 5").select("query_id", "id")
-
-
-def rounded_weights(ranked):
-    """Weights to nine digits of the mean weight of their query, which is 1 / n."""
-    n = F.col("n")
-    sizes = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
-    return guarded_join(ranked, sizes, ["query_id"], spread=F.col("id")).withColumn("weight", F.round(F.col("weight") * n, 9) / n).drop("n")
+    """Items among the first five places by every score, from the leaders of the walk."""
+    return ranking.leaders(ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES), 5, len(SCORES))
 
 
 def p4_ranking(spark, d):
     """One ranking for each query, by the walk's weight; ties go to the smaller id."""
-    ranked = rounded_weights(cut(ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES)))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "id"))
-    return ranked.select("query_id", "id", "weight", place.cast("long").alias("place"))
+    return ranking.rank_walk(table(spark, d, "hybrid_results"), SCORES).select("query_id", "id", F.round("weight", 9).alias("weight"), "place")
 
 
 def p6_found(spark, d):
-    """Terms that are frequent in a document and rare in its index."""
-    return distinctive.term_scores(table(spark, d, "term_entries"), least_tf=5, least_df=2, one_in=20).select("index_id", "doc_id", "term")
+    """Scored terms that are frequent in a document and rare in its index."""
+    scored = distinctive.term_scores(table(spark, d, "term_entries"), least_tf=5, least_df=2, one_in=20)
+    return scored.where(~F.isnan("llr")).select("index_id", "doc_id", "term")
 
 
 def p6_scores(spark, d):
@@ -155,6 +145,29 @@ SQL = {
             {_PLACE.format(c="combined_score", sign="-")} as p2
           from latest)
         select query_id, id from places where p0 <= 5 and p1 <= 5 and p2 <= 5""",
+    "p4_ranking": """
+        with recursive latest as (
+          select query_id, id, vector_score, text_score, combined_score from hybrid_results where query_id is not null and id is not null
+          qualify row_number() over (partition by query_id, id order by scored_at desc nulls last) = 1),
+        vals as (
+          select query_id, id, unnest([0, 1, 2]) as j,
+            unnest([case when isnan(vector_score) then null else vector_score end, case when isnan(text_score) then null else -text_score end, case when isnan(combined_score) then null else -combined_score end]) as v
+          from latest),
+        sizes as (select query_id, count(*) as n from latest group by query_id),
+        up as (select a.query_id, a.id as a, b.id as b, a.j from vals a join vals b on a.query_id = b.query_id and a.j = b.j where b.v is not null and (a.v is null or b.v < a.v)),
+        deg as (select query_id, a, j, count(*) as c from up group by all),
+        move as (
+          select query_id, a, b, sum(p) as p from (
+            select query_id, a, b, 1.0::double / 3 / c as p from up join deg using (query_id, a, j)
+            union all select v.query_id, v.id, v.id, case when c is null then 1.0::double / 3 else 0 end from vals v left join deg d on d.query_id = v.query_id and d.a = v.id and d.j = v.j)
+          group by all),
+        walk as (
+          select 0 as t, query_id, id, 1.0::double / n as w, n from latest join sizes using (query_id)
+          union all
+          select any_value(t) + 1, walk.query_id, b, 0.25 / any_value(n) + 0.75 * sum(w * p), any_value(n)
+          from walk join move on move.query_id = walk.query_id and a = id where t < 128 group by walk.query_id, b),
+        last as (select query_id, id, n, round(w * n, 9) as s from walk where t = 128)
+        select query_id, id, round(s / n, 9) as weight, row_number() over (partition by query_id order by s desc, id) as place from last""",
     "p6_found": _TERMS + """
         select index_id, doc_id, term from scored where tf >= 5 and df >= 2 and df * 20 <= n_docs""",
     "p6_scores": _TERMS + f"""

@@ -17,16 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, skew_join, task_count
 
 #: Items of a query that one task may hold; the limits of a batch of small queries.
 TASK_ITEMS = 200_000
 #: Probability of starting anew, and steps of the power iteration: each leaves at most three quarters of the
 #: distance to its limit, so 128 leave 1e-16 of it, less than p4_ranking rounds.
 DAMPING, STEPS = 0.25, 128
-#: Ranks of a block in the distributed walk.
-BLOCK = 4096
-OUT = "query_id long, id long, p0 long, p1 long, p2 long, weight double"
+#: Ranks of a block in the distributed walk, ties or items of a task there, and steps after which it looks whether it may stop.
+BLOCK, TASK_ROWS, LOOK = 4096, 200_000, 8
+#: Weights are compared after rounding to so many digits of their query's mean weight.
+DIGITS = 9
+
+
+def out_schema(k: int) -> str:
+    return "query_id long, id long, " + ", ".join(f"p{j} long" for j in range(k)) + ", weight double, place long, ahead long"
 
 
 def latest_scores(results: DataFrame, scores: list[tuple[str, bool]]) -> DataFrame:
@@ -73,13 +78,28 @@ def walk(query: np.ndarray, scores: np.ndarray, damping: float = DAMPING, steps:
     return places, weight
 
 
+def ordered(query: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rounded weights, places by them (ties to the smaller id) and how many items have a greater weight; ``query`` must be sorted."""
+    start = np.searchsorted(query, query)
+    size = np.maximum(np.searchsorted(query, query, side="right") - start, 1)
+    scaled = np.round(weight * size, DIGITS)
+    order = np.lexsort((ids, -scaled, query))
+    place, ahead, at = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.arange(len(ids))
+    q, v = query[order], scaled[order]
+    new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])][: len(ids)]
+    place[order] = at - start[order] + 1
+    ahead[order] = np.maximum.accumulate(np.where(new, at, 0)) - start[order]
+    return scaled / size, place, ahead
+
+
 def _small(damping: float, steps: int):
     def flush(rows: pa.Table):
         q = rows["query_id"].to_numpy()
         s = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in rows.column_names if c.startswith("s")], axis=1)
         places, weight = walk(q, s, damping, steps)
-        cols = [rows["query_id"].combine_chunks(), rows["id"].combine_chunks(), *[pa.array(places[:, j], mask=places[:, j] == 0) for j in range(s.shape[1])], pa.array(weight)]
-        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["query_id", "id", *[f"p{j}" for j in range(s.shape[1])], "weight"])
+        weight, place, ahead = ordered(q, rows["id"].to_numpy(), weight)
+        cols = [rows["query_id"].combine_chunks(), rows["id"].combine_chunks(), *[pa.array(places[:, j], mask=places[:, j] == 0) for j in range(s.shape[1])], pa.array(weight), pa.array(place), pa.array(ahead)]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["query_id", "id", *[f"p{j}" for j in range(s.shape[1])], "weight", "place", "ahead"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -101,24 +121,43 @@ def _small(damping: float, steps: int):
     return run
 
 
-def _ranked(rows: DataFrame, j: int) -> DataFrame:
-    """Adds p<j> (place, null without the score) and b<j> (how many are better); no task holds a whole query."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = F.col(f"s{j}")
-    cutup = cut(rows.repartitionByRange(parts, "query_id", s.asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
-    tie = F.rank().over(W.partitionBy("query_id", "_part").orderBy(s.asc_nulls_last()))
-    counts = cutup.groupBy("query_id", "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("query_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("query_id", "_part", before.alias("_before"))
-    out = cutup.withColumn("_tie", tie).join(counts, ["query_id", "_part"])
-    out = out.withColumn(f"b{j}", F.col("_tie") + F.col("_before") - 1).withColumn(f"p{j}", F.when(s.isNotNull(), F.col(f"b{j}") + 1))
-    return out.drop("_part", "_tie", "_before")
+def _before(values: DataFrame, order: list, count: str, parts: int) -> DataFrame:
+    """Adds ``before``, the sum of ``count`` over the query's rows that come earlier; no task holds a whole query.
+
+    Rows are range partitioned by query and ``order``, summed up within their partition and shifted by the
+    partitions before.
+    """
+    rows = cut(values.repartitionByRange(parts, "query_id", *order).withColumn("_part", F.spark_partition_id()))
+    earlier = (W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(count).over(W.partitionBy("query_id", "_part").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    sizes = rows.groupBy("query_id", "_part").agg(F.sum(count).alias("_n"))
+    shift = F.coalesce(F.sum("_n").over(W.partitionBy("query_id").orderBy("_part").rowsBetween(*earlier)), F.lit(0))
+    # a row for each partition and query in it
+    sizes = sizes.select("query_id", "_part", shift.alias("_shift"))
+    return rows.withColumn("_within", within).join(sizes, ["query_id", "_part"]).withColumn("before", F.col("_within") + F.col("_shift")).drop("_part", "_within", "_shift")
+
+
+def _ranked(rows: DataFrame, j: int, parts: int) -> DataFrame:
+    """Adds p<j> (place, null without the score) and b<j> (how many are better).
+
+    Ties are one row while places are counted, and a tie of very many items is joined by broadcast.
+    """
+    name, s = f"s{j}", F.col(f"s{j}")
+    has = rows.where(s.isNotNull())
+    ties = cut(_before(has.groupBy("query_id", name).agg(F.count("*").alias("n_tie")), [name], "n_tie", parts))
+    ranked = skew_join(has, ties, ["query_id", name], "n_tie").drop("n_tie").withColumn(f"p{j}", F.col("before") + 1)
+    # items without the score are below all that have it; the large queries are few
+    having = ties.groupBy("query_id").agg(F.sum("n_tie").alias("before"))
+    none = rows.where(s.isNull()).join(F.broadcast(having), "query_id", "left").withColumn(f"p{j}", F.lit(None).cast("long"))
+    both = ranked.unionByName(none.select(ranked.columns))
+    return both.withColumn(f"b{j}", F.coalesce("before", F.lit(0))).drop("before")
 
 
 def large_walk(rows: DataFrame, k: int, damping: float = DAMPING, steps: int = STEPS, block: int = BLOCK) -> DataFrame:
     """The same walk for queries of any size, as joins and windows over blocks of ranks."""
+    parts = task_count(rows.sparkSession, rows.count(), TASK_ROWS)
     for j in range(k):
-        rows = _ranked(rows, j)
+        rows = _ranked(rows, j, parts)
     sizes = rows.groupBy("query_id").agg(F.count("*").alias("n"))
     keep = ["query_id", "id", *[f"p{j}" for j in range(k)], *[f"b{j}" for j in range(k)], "n"]
     # items that lack a score share one place below all others, which nobody jumps to: their mass is one sum
@@ -135,26 +174,39 @@ def large_walk(rows: DataFrame, k: int, damping: float = DAMPING, steps: int = S
             after = F.coalesce(F.sum("m").over(W.partitionBy("query_id").orderBy(F.desc("blk")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
             blocks = blocks.select("query_id", "blk", after.alias("later"))
             worse = F.coalesce(F.sum("mass").over(W.partitionBy("query_id", "blk").orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-            come = ties.withColumn("worse", worse).join(blocks, ["query_id", "blk"]).select("query_id", F.col("place").alias(f"p{j}"), (F.col("worse") + F.col("later")).alias(f"g{j}"))
-            gains = (rows if gains is None else gains).join(come, ["query_id", f"p{j}"], "left")
+            come = ties.withColumn("worse", worse).join(blocks, ["query_id", "blk"]).select("query_id", F.col("place").alias("_at"), (F.col("worse") + F.col("later")).alias(f"g{j}"))
+            # items without a place match nothing; they are spread
+            at = F.coalesce(p, -1 - F.pmod(F.xxhash64("id"), F.lit(4096)))
+            gains = (rows if gains is None else gains).withColumn("_at", at).join(come, ["query_id", "_at"], "left").drop("_at")
         total = None
         for j in range(k):
             part = F.coalesce(F.col(f"g{j}"), F.lit(0.0)) + F.when(F.col(f"b{j}") == 0, F.col("weight") / k).otherwise(0.0)
             total = part if total is None else total + part
-        rows = cut(gains.withColumn("weight", F.lit(damping) / F.col("n") + (1 - damping) * total).select(*keep, "weight"))
-    return rows.select("query_id", "id", *[F.col(f"p{j}").cast("long") for j in range(k)], "weight")
+        moved = gains.withColumn("_old", F.col("weight")).withColumn("weight", F.lit(damping) / F.col("n") + (1 - damping) * total)
+        rows = cut(moved.select(*keep, "weight", "_old"))
+        if step % LOOK == LOOK - 1 and rows.agg(F.max(F.abs(F.col("weight") - F.col("_old")) * F.col("n"))).first()[0] < 10.0 ** (-DIGITS - 2):
+            break
+        rows = rows.drop("_old")
+    rows = rows.withColumn("_w", F.round(F.col("weight") * F.col("n"), DIGITS)).withColumn("one", F.lit(1))
+    ties = rows.groupBy("query_id", "_w").agg(F.count("*").alias("n_tie")).withColumn("_far", -F.col("_w"))
+    ties = _before(ties, ["_far"], "n_tie", parts).select("query_id", "_w", "n_tie", F.col("before").alias("ahead"))
+    rows = skew_join(rows, cut(ties), ["query_id", "_w"], "n_tie").withColumn("_far", -F.col("_w"))
+    rows = _before(rows, ["_far", "id"], "one", parts)
+    return rows.select("query_id", "id", *[F.col(f"p{j}").cast("long") for j in range(k)], (F.col("_w") / F.col("n")).alias("weight"), (F.col("before") + 1).cast("long").alias("place"), F.col("ahead").cast("long"))
 
 
 def rank_walk(results: DataFrame, scores: list[tuple[str, bool]], task_items: int = TASK_ITEMS, damping: float = DAMPING, steps: int = STEPS, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, p0.., weight): each item's place by each score (null: none) and its share of the walk.
+    """(query_id, id, p0.., weight, place, ahead): each item's place by each score (null: none) and its share of the walk.
 
-    A place is 1 + the number of items that are better. Ties share a place. No rows give no rows.
+    A place is 1 + the number of items that are better. Ties share a place. Weights are rounded to nine digits of
+    their query's mean weight; ``place`` orders the items by weight and id, ``ahead`` counts those of greater
+    weight. No rows give no rows.
     """
     rows = latest_scores(results, scores)
     k = len(scores)
     big = rows.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > task_items).select("query_id")
     big_rows = cut(big)
-    schema = OUT if k == 3 else "query_id long, id long, " + ", ".join(f"p{j} long" for j in range(k)) + ", weight double"
+    schema = out_schema(k)
     if big_rows.isEmpty():
         return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small(damping, steps), schema)
     # the large queries are at most rows / task_items many
@@ -163,3 +215,18 @@ def rank_walk(results: DataFrame, scores: list[tuple[str, bool]], task_items: in
     small = small.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_small(damping, steps), schema)
     large = rows.join(F.broadcast(big_rows), "query_id", "left_semi") if big_rows.count() < 10_000 else rows.join(big_rows, "query_id", "left_semi")
     return small.unionByName(large_walk(large, k, damping, steps, block))
+
+
+def leaders(ranked: DataFrame, most: int, k: int) -> DataFrame:
+    """(query_id, id) of the items that are among the first ``most`` places by all ``k`` scores, of the walk's leaders.
+
+    An item that is no better than another by any score gets no more weight: whatever jumps to it may also jump to
+    the other, with the same chance. So only what is better by a score can have more weight, which at most
+    ``most`` - 1 items are by each: such an item has at most k * (most - 1) ahead of it in the walk. Its places by the
+    scores are then looked at.
+    """
+    within = [F.col(f"p{j}") <= most for j in range(k)]
+    first = ranked.where(F.col("ahead") <= k * (most - 1))
+    for condition in within:
+        first = first.where(condition)
+    return first.select("query_id", "id")
