@@ -105,3 +105,37 @@ def test_repository_table(spark):
     rows = [tuple(r) for r in df.select("primary_addr", "seq", "ts", "arrived_at", "op", "coll_name", "id", "payload").collect()]
     got = {tuple(r) for r in cf.live_keys(df).collect()}
     assert got == replay(rows) and got
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_base_and_feed_equal_a_full_replay(spark, seed):
+    rows = [r for r in feed(seed) if r[0] is not None and r[1] is not None]
+    half = sorted(r[1] for r in rows)[len(rows) // 2]
+    base = cf.merge_changes(spark.createDataFrame([], cf.BASE), frame(spark, [r for r in rows if r[1] <= half]))
+    got = cf.merge_changes(base, frame(spark, [r for r in rows if r[1] > half]))
+    assert {(r.coll_name, r.id, r.seq) for r in got.collect()} == replay(rows)
+    assert sorted(map(tuple, cf.merge_changes(base, frame(spark, [])).collect())) == sorted(map(tuple, base.collect()))
+
+
+def test_late_and_corrected_entries_replay_their_primary_only(spark):
+    old, new = T0, T0 + timedelta(days=1)
+    first = [("a", 1, old, old, "Insert", "c", 1, None), ("a", 3, old, old, "Delete", "c", 2, None), ("b", 1, old, old, "Insert", "c", 7, None), ("b", 2, old, old, "Insert", "d", 8, None)]
+    later = [("a", 2, new, new, "Insert", "c", 2, None), ("a", 1, new, new, "Insert", "c", 5, None), ("b", 3, new, new, "Update", "c", 7, '{"new_id": 9}'), ("b", 4, new, new, "DeleteCollection", "d", None, None), ("c", 1, new, new, "Insert", "c", 11, None)]
+    base = cf.merge_changes(spark.createDataFrame([], cf.BASE), frame(spark, first))
+    marks = spark.createDataFrame([("a", 3, old), ("b", 2, old)], "primary_addr string, mark_seq long, mark_time timestamp")
+    got = {(r.coll_name, r.id, r.seq) for r in cf.refresh(base, marks, frame(spark, first + later)).collect()}
+    assert got == {("c", 5, 1), ("c", 9, 3), ("c", 11, 1)}
+
+
+def test_large_batches_are_split(spark, monkeypatch):
+    rows = [("a", 1, T0, T0, "InsertBatch", "c", None, '{"start_id": 5, "count": 3000000}'), ("a", 2, T0, T0, "DeleteBatch", "c", None, '{"ids": [5, 6]}'), ("a", 3, T0, T0, "Delete", "c", 2000000, None), ("a", 4, T0, T0, "BatchInsert", "c", None, '{"start_id": 1, "count": 3}'), ("a", 5, T0, T0, "InsertBatch", "c", None, '{"count": 100000}')]
+    out = cf.live_keys(frame(spark, rows))
+    r = out.selectExpr("count(*) n", "min(id) lo", "max(id) hi", "count(distinct id) d").first()
+    assert tuple(r) == (3000000 - 3 + 3, 1, 3000004, 3000000)
+    monkeypatch.setattr(cf, "BATCH", 4)
+    rows = feed(5)
+    assert {tuple(r) for r in cf.live_keys(frame(spark, rows)).collect()} == replay(rows)

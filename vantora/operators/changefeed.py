@@ -4,6 +4,9 @@ Each log is ordered by ``seq`` within its ``primary_addr``. Copies of an entry a
 arrived last, entries become events on keys, and the latest event of each key decides. An ``Update`` moves a
 key only if it was live, which may hang on an earlier ``Update``; such dependencies are resolved by pointer
 jumping, in as many rounds as the logarithm of the longest chain.
+
+The changes are merged into a base: of the base only the keys that the feed touches take part, as if they had been set
+at their seq; the other rows pass by, those of collections that the feed deletes are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, guarded_join
+from ..session import cut, guarded_join, is_small, task_count
 
 #: The operations by their letters in lower case, with the two spellings of the batch forms.
 OPS = {
@@ -28,6 +31,9 @@ OPS = {
 }
 #: Log positions in a block; the events of one key are ordered block by block.
 BLOCK = 1 << 16
+#: Ids of a batch that one row is expanded to; larger batches are split and spread first.
+BATCH = 1 << 16
+BASE = "primary_addr string, coll_name string, id long, seq long"
 PAYLOAD = "new_id bigint, start_id bigint, count bigint, ids array<bigint>"
 KEY = ["primary_addr", "coll_name", "id"]
 
@@ -58,21 +64,43 @@ def normal_op(op):
     return F.try_element_at(names, plain)
 
 
-def key_events(entries: DataFrame) -> DataFrame:
+def _decoded(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries with canonical ops and parsed payloads ``p``, deletions of collections as primary_addr, coll_name, wiped_at)."""
+    plain = latest_copies(entries).withColumn("op", normal_op(F.col("op"))).where("op is not null and coll_name is not null")
+    body = F.from_json("payload", PAYLOAD)
+    plain = plain.withColumn("p", F.when(F.col("op").isin("insertbatch", "deletebatch", "update"), body)).drop("payload")
+    wiped = plain.where("op = 'deletecollection'").groupBy("primary_addr", "coll_name").agg(F.max("seq").alias("wiped_at"))
+    return plain.where("op <> 'deletecollection'"), wiped
+
+
+def _large_batches(entries: DataFrame) -> bool:
+    """Whether an entry inserts more ids than one row should be expanded to."""
+    batches = entries.where(normal_op(F.col("op")) == "insertbatch").select(F.get_json_object("payload", "$.count").try_cast("bigint").alias("n"))
+    return not batches.where(F.col("n") > BATCH).isEmpty()
+
+
+def key_events(entries: DataFrame, wiped: DataFrame | None = None, plain: DataFrame | None = None) -> DataFrame:
     """Events on keys: primary_addr, coll_name, id, seq, kind, other.
 
     kind: ``set``, ``drop``, ``touch`` (sets the seq if live), ``out`` (an Update leaves the key; other is
     new_id) and ``in`` (it enters; other is the old id). Entries before the last DeleteCollection of their
     collection are left out: nothing of them survives it. Unreadable payloads, counts below 1 and null ids
-    give no event; an Update without new_id only drops.
+    give no event; an Update without new_id only drops. A batch of more than ``BATCH`` ids is split into ranges,
+    which are spread over tasks before they are expanded.
     """
-    plain = latest_copies(entries).withColumn("op", normal_op(F.col("op"))).where("op is not null and coll_name is not null")
-    body = F.from_json("payload", PAYLOAD)
-    plain = plain.withColumn("p", F.when(F.col("op").isin("insertbatch", "deletebatch", "update"), body)).drop("payload")
-    wiped = plain.where("op = 'deletecollection'").groupBy("primary_addr", "coll_name").agg(F.max("seq").alias("wiped_at"))
-    plain = plain.where("op <> 'deletecollection'")
+    if plain is None:
+        plain, wiped = _decoded(entries)
     plain = guarded_join(plain, wiped, ["primary_addr", "coll_name"], "left", spread=F.col("seq"))
     plain = plain.where(F.col("wiped_at").isNull() | (F.col("seq") > F.col("wiped_at")))
+    large = None
+    if _large_batches(entries):
+        size, tasks = F.col("p.count"), task_count(entries.sparkSession, 0, 1)
+        many = (F.col("op") == "insertbatch") & F.coalesce(size > BATCH, F.lit(False))
+        pieces = plain.where(many & F.col("p.start_id").isNotNull()).select("primary_addr", "coll_name", "seq", (F.col("p.start_id") + size).alias("end"), F.explode(F.sequence(F.col("p.start_id"), F.col("p.start_id") + size - 1, F.lit(BATCH).cast("bigint"))).alias("lo"))
+        pieces = pieces.repartition(4 * tasks, "primary_addr", "coll_name", "lo")
+        ids = F.explode(F.sequence("lo", F.least(F.col("lo") + BATCH, F.col("end")) - 1))
+        large = pieces.select("primary_addr", "coll_name", ids.alias("id"), "seq", F.lit("set").alias("kind"), F.lit(None).cast("long").alias("other"))
+        plain = plain.where(~many)
 
     def event(i, kind, other=None):
         return F.struct(i.alias("id"), F.lit(kind).alias("kind"), (F.lit(None).cast("long") if other is None else other).alias("other"))
@@ -86,11 +114,9 @@ def key_events(entries: DataFrame) -> DataFrame:
         .when(F.col("op") == "deletebatch", F.transform(F.array_distinct("p.ids"), lambda i: event(i, "drop")))
         .when(F.col("op") == "update", F.array(event(F.col("id"), "out", F.col("p.new_id")), event(F.col("p.new_id"), "in", F.col("id"))))
     )
-    return (
-        plain.select("primary_addr", "coll_name", "seq", F.explode(made).alias("e"))
-        .select("primary_addr", "coll_name", "e.id", "seq", "e.kind", "e.other")
-        .where("id is not null")
-    )
+    events = plain.select("primary_addr", "coll_name", "seq", F.explode(made).alias("e")).select("primary_addr", "coll_name", "e.id", "seq", "e.kind", "e.other")
+    events = events.where("id is not null")
+    return events if large is None else events.unionByName(large)
 
 
 def effective_updates(events: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -141,21 +167,58 @@ def effective_updates(events: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"a chain of updates is longer than 2^{max_rounds}")
 
 
-def live_keys(entries: DataFrame) -> DataFrame:
-    """(coll_name, id, seq) of the keys that are live after all entries, with the seq that last set each.
-
-    Empty input gives an empty result. Extra columns are ignored.
-    """
-    events = cut(key_events(entries))
+def _fates(events: DataFrame) -> DataFrame:
+    """(primary_addr, coll_name, id, seq) of the keys that are live after all events."""
     good = effective_updates(events).withColumn("ok", F.lit(True))
     moves = events.where("kind in ('in', 'out')").join(good, ["primary_addr", "seq"], "left")
     moves = moves.where("ok or kind = 'out'").drop("ok")  # a key that an Update leaves is dead afterwards in any case
     steady = events.where("kind not in ('in', 'out')")
     fate = F.when(F.col("kind") == "touch", None).otherwise(F.struct("seq", F.when(F.col("kind").isin("set", "in"), 1).otherwise(0).alias("live")))
-    return (
-        steady.unionByName(moves)
-        .groupBy(*KEY)
-        .agg(F.max(fate).alias("f"), F.max("seq").alias("seq"))
-        .where("f.live = 1")
-        .select("coll_name", "id", "seq")
-    )
+    return steady.unionByName(moves).groupBy(*KEY).agg(F.max(fate).alias("f"), F.max("seq").alias("seq")).where("f.live = 1").select(*KEY, "seq")
+
+
+def merge_changes(base: DataFrame, entries: DataFrame) -> DataFrame:
+    """(primary_addr, coll_name, id, seq): the base after the entries of a feed, all of them later in their log than the base.
+
+    ``base`` has the same columns and a row for each live key. Its rows are read twice and, as long as the keys of the
+    feed are few, not shuffled. An empty base gives the state after the entries alone, no entries give the base.
+    """
+    plain, wiped = _decoded(entries)
+    wiped = cut(wiped)
+    events = cut(key_events(entries, wiped, plain))
+    base = guarded_join(base.select(*KEY, "seq"), wiped, KEY[:2], "left_anti", spread=F.col("id"))
+    keys = events.select(*KEY).distinct()
+    if is_small(keys):
+        keys = F.broadcast(keys)  # at most BROADCAST_ROWS
+    known = base.join(keys, KEY, "left_semi").select(*KEY, "seq", F.lit("set").alias("kind"), F.lit(None).cast("long").alias("other"))
+    if not known.isEmpty():
+        events = cut(events.unionByName(known))
+    return _fates(events).unionByName(base.join(keys, KEY, "left_anti"))
+
+
+def refresh(base: DataFrame, marks: DataFrame, entries: DataFrame) -> DataFrame:
+    """The state after all entries, from a base and the marks it was made at.
+
+    ``marks``: primary_addr, mark_seq, mark_time, the greatest seq and arrival that the base knows. Entries that
+    arrived later are merged into the base. Where one of them lies at or below the mark (it is late, or corrects an
+    earlier one) the base can't be trusted for its primary, whose log is replayed from the start. Entries
+    without an arrival count as known to the base if they lie at or below its mark.
+    """
+    rows = guarded_join(entries.where("primary_addr is not null and seq is not null"), marks, ["primary_addr"], "left", spread=F.col("seq"))
+    fresh = rows.where(F.col("mark_seq").isNull() | (F.col("arrived_at") > F.col("mark_time")) | (F.col("arrived_at").isNull() & (F.col("seq") > F.col("mark_seq"))))
+    again = cut(fresh.where(F.col("seq") <= F.col("mark_seq")).select("primary_addr").distinct())
+    columns = entries.columns
+    replayed = merge_changes(base.limit(0), guarded_join(entries, again, ["primary_addr"], "left_semi", spread=F.col("seq")))
+    if not is_small(again, 0):
+        fresh = guarded_join(fresh, again, ["primary_addr"], "left_anti", spread=F.col("seq"))
+        base = guarded_join(base, again, ["primary_addr"], "left_anti", spread=F.col("id"))
+    merged = merge_changes(base, fresh.select(*columns))
+    return merged.unionByName(replayed)
+
+
+def live_keys(entries: DataFrame) -> DataFrame:
+    """(coll_name, id, seq) of the keys that are live after all entries, with the seq that last set each: merged into an empty base.
+
+    Empty input gives an empty result. Extra columns are ignored.
+    """
+    return merge_changes(entries.sparkSession.createDataFrame([], BASE), entries).select("coll_name", "id", "seq")

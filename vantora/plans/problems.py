@@ -64,7 +64,19 @@ def p7_found(spark, d):
     return changefeed.live_keys(table(spark, d, "wal_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_published, p2_resumed, p3_found, p3_wide, p7_found)}
+def p7_merged(spark, d):
+    """The live vectors from a base of what had arrived by the middle of the log's time, refreshed with all entries."""
+    entries = table(spark, d, "wal_entries")
+    middle = entries.agg(F.expr("timestamp_micros((min(unix_micros(cast(arrived_at as timestamp))) + max(unix_micros(cast(arrived_at as timestamp)))) div 2)").alias("t")).select(F.col("t").cast("timestamp_ntz")).first()[0]
+    early = entries.where(F.col("arrived_at") <= F.lit(middle)) if middle is not None else entries.limit(0)
+    base = changefeed.merge_changes(spark.createDataFrame([], changefeed.BASE), early)
+    path = shared_path(spark, "p7-base")
+    base.write.parquet(path)
+    marks = early.where("primary_addr is not null").groupBy("primary_addr").agg(F.max("seq").alias("mark_seq"), F.max("arrived_at").alias("mark_time"))
+    return changefeed.refresh(spark.read.parquet(path), marks, entries).select("coll_name", "id", "seq")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_published, p2_resumed, p3_found, p3_wide, p7_found, p7_merged)}
 
 SQL = {
     "p2_found": """
@@ -126,4 +138,5 @@ SQL = {
         select replica, seq, 2 from versions join reps using (primary_addr) left join half using (primary_addr)
         where high_seq is null or seq > high_seq or first_at > high_at or (changed and last_at > high_at)""",
     "p7_found": REPLAY,
+    "p7_merged": REPLAY,
 }
