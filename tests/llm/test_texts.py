@@ -170,6 +170,47 @@ def test_wrong_decodings_are_found_and_undone(spark):
     assert sum(back[i] == t for i, t in truth.items()) >= 0.9 * len(truth)
 
 
+def test_lost_bytes_are_found_without_a_replacement_character(spark):
+    """A byte that was dropped, or became a blank or question mark: only the lattice's wildcards read such texts."""
+    texts = []
+    for i in range(25):
+        texts += [t.replace("5 €", f"{i} €") for t in CLEAN]
+    lost = {
+        "Le café est Ã\xa0 côté": "Le café est à côté", "Le café est Ã  côté": "Le café est à côté", "Die Stra�e läuft": "Die Straße läuft",
+        "Покупатель доволен, но журнал Ð·апР¸си": None, "El niÃo comió": "El niño comió", "für GrÃ¶Ã?e über": "für Größe über",
+    }
+    start = len(texts)
+    texts += list(lost)
+    df = docs(spark, texts)
+    back = {r.doc_id: r.restored for r in mojibake.restored_texts(df).collect()}
+    assert min(back) >= start
+    good = [back.get(start + i) == want or want is None for i, want in enumerate(lost.values())]
+    assert sum(good) >= len(lost) - 1 and back.keys() >= set(range(start, len(texts))), [back.get(start + i) for i in range(len(lost))]
+
+
+def test_a_lattice_is_searched_in_full():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    counts = np.zeros(mojibake.BUCKETS, np.float32)
+    counts[:] = rng.integers(0, 9, mojibake.BUCKETS)
+    channel = mojibake.Channel(counts.tobytes())
+    for window in ("aÃ©bÃ", "Ã¤Ã¼", "xÃ?yâ€", "Ð¿Ñ"):
+        arcs = channel.arcs(window, "cp1252")
+        paths = [(0, "")]
+        every = []
+        while paths:
+            i, text = paths.pop()
+            if i == len(window):
+                every.append(text)
+            else:
+                paths += [(i + n, text + r) for n, readings in arcs[i] for r in readings]
+        assert len(every) > 1
+        score, text = channel.search(window, arcs, True, True)
+        best = max(every, key=lambda x: channel.score(x, True, True))
+        assert abs(score - channel.score(best, True, True)) < 1e-6 and abs(channel.score(text, True, True) - score) < 1e-6
+
+
 def test_nothing_is_damaged_in_nothing(spark):
     assert mojibake.damaged_texts(docs(spark, [])).collect() == []
     assert mojibake.damaged_texts(docs(spark, [None, "", "abc"])).collect() == []

@@ -46,12 +46,12 @@ def term_scores(entries: DataFrame, least_tf: int = 1, least_df: int = 1, one_in
     """
     occ = cut(occurrences(entries))  # read four times
     terms = occ.groupBy("index_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("term_total"))
-    docs = occ.groupBy("index_id", "doc_id").agg(F.sum("tf").alias("doc_total"), F.count("*").alias("doc_terms"))
+    docs = cut(occ.groupBy("index_id", "doc_id").agg(F.sum("tf").alias("doc_total"), F.count("*").alias("doc_terms")))
     indexes = docs.groupBy("index_id").agg(F.count("*").alias("n_docs"), F.sum("doc_total").alias("total"))
     terms = guarded_join(terms, indexes, ["index_id"], spread=F.col("term"))
     terms = terms.where((F.col("df") >= least_df) & (F.col("df") * one_in <= F.col("n_docs")))
     # a term of very many documents, or a document of very many terms, must not meet in one task
-    rows = skew_join(occ.where(F.col("tf") >= least_tf), terms, ["index_id", "term"], "df")
+    rows = skew_join(occ.where(F.col("tf") >= least_tf), cut(terms), ["index_id", "term"], "df")
     rows = skew_join(rows, docs, ["index_id", "doc_id"], "doc_terms")
     k11 = F.col("tf").cast("double")
     k12, k21 = F.col("doc_total") - k11, F.col("term_total") - k11

@@ -3,10 +3,10 @@
 A noisy channel: someone wrote a text, its bytes in one encoding were read in another. The source is a model
 of the corpus: how often each character follows two others, counted over all texts. The channel is undone by
 taking a damaged span back to its bytes and reading those as another encoding. Where bytes were lost (a
-replacement character, or an incomplete sequence) the byte lattice gets a wildcard, and a Viterbi search over
-the model chooses the likeliest reading. A span counts as damaged if another reading is so much likelier that
-it outweighs how rare damage is; readings as UTF-8 need little, because byte sequences that are valid UTF-8
-by chance are rare.
+replacement character, or an incomplete sequence) the byte lattice gets wildcards, and a Viterbi search over
+the model and the corpus' word frequencies chooses the likeliest reading. A span counts as damaged if another
+reading is so much likelier that it outweighs how rare damage is; readings as UTF-8 need little, because byte
+sequences that are valid UTF-8 by chance are rare, readings with wildcards more, and their words must be known.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,21 @@ UTF8_GAIN, OTHER_GAIN = 1.0, 4.5
 SEEN_SHARE, SEEN_TIMES = 0.8, 2
 #: Buckets of the hashed counts of three, two and one characters. They bound the model whatever the corpus;
 #: sequences of three and of two are counted under two hashes, of which the smaller count holds.
-TRI, BI, UNI = 1 << 21, 1 << 18, 1 << 16
-BUCKETS = 2 * TRI + 2 * BI + UNI
-#: Characters tried for a lost one, states kept by the search, UTF-8 layers undone, windows remembered.
-GUESSES, BEAM, LAYERS, MEMORY = 160, 24, 3, 60_000
+TRI, BI, UNI, WORDS = 1 << 21, 1 << 18, 1 << 16, 1 << 19
+BUCKETS = 2 * TRI + 2 * BI + UNI + 2 * WORDS
+#: How much likelier a reading with lost bytes must be, and the weight of a word's frequency in it.
+LOSS_GAIN, WORD_WEIGHT = 3.0, 0.5
+#: States that the search keeps where several lost characters follow each other in a word (one alone is searched in
+#: full), UTF-8 layers undone, windows remembered.
+BEAM, LAYERS, MEMORY = 256, 3, 60_000
 LOST = "\ufffd"
 #: A window: characters beyond ASCII with up to two others on each side, which is all the model looks at.
 WINDOW = re.compile(r"[!-~]{0,2}(?:[^\x00-\x7f](?:[!-~]{1,3}(?=[^\x00-\x7f]))?)+[!-~]{0,2}")
+#: A word with a letter beyond ASCII, which is what word frequencies are counted of.
+WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
+_LETTERS_BEFORE, _LETTERS_AFTER = re.compile(r"[^\W\d_]{0,40}\Z"), re.compile(r"[^\W\d_]{0,40}")
+#: What may stand where a continuation byte was lost: a blank or question mark in its place, or nothing.
+STAND_INS = " ?\xa0"
 _LEAD = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
 _EDGE = 2
 _M1, _M2, _M3 = 73856093, 19349663, 83492791
@@ -56,19 +66,32 @@ def _codes(text: str) -> np.ndarray:
     return c[~(blank & np.r_[False, blank[:-1]])]
 
 
+def word_places(word: str) -> tuple[int, int]:
+    """The two counters of a word, whatever its case."""
+    h = xxhash.xxh3_64_intdigest(word.casefold().encode("utf-8", "surrogatepass"))
+    return h & WORDS - 1, (h >> 32) & WORDS - 1
+
+
 def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(bucket, n): hashed counts of characters after two, one and no others, over all texts."""
+    """(bucket, n): hashed counts of characters after two, one and no others, and of words beyond ASCII, over all texts."""
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
+        start_of_words = BUCKETS - 2 * WORDS
 
         def add(keys, size, start):
             total[start : start + size] += np.bincount(keys & np.uint32(size - 1), minlength=size)
 
         for b in batches:
-            codes = [_codes(text) for text in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
+            codes = [_codes(text) for text in texts]
             if not codes:
                 continue
+            words = Counter(w for text in texts if not text.isascii() for w in WORD.findall(text))
+            if words:
+                places, n = np.array([word_places(w) for w in words]), np.array(list(words.values()))
+                np.add.at(total, start_of_words + places[:, 0], n)
+                np.add.at(total, start_of_words + WORDS + places[:, 1], n)
             c = np.concatenate(codes)  # an edge stands between two texts
             x, y, z = c[:-2], c[1:-1], c[2:]
             m1, m2, m3, n1, n2, n3 = map(np.uint32, (_M1, _M2, _M3, _N1, _N2, _N3))  # only low bits count
@@ -125,12 +148,16 @@ class Channel:
 
     def __init__(self, counts: bytes):
         n = np.frombuffer(counts, np.float32)
-        ends = np.cumsum([TRI, TRI, BI, BI])
-        self.tri, self.tri2, self.bi, self.bi2, self.uni = (array("f", x.tobytes()) for x in np.split(n, ends))
+        ends = np.cumsum([TRI, TRI, BI, BI, UNI, WORDS])
+        self.tri, self.tri2, self.bi, self.bi2, self.uni, self.word, self.word2 = (array("f", x.tobytes()) for x in np.split(n, ends))
         self.total = max(1.0, sum(self.uni))
         self.logs: dict[int, float] = {}
         self.memory: dict[tuple[str, bool, bool], tuple[float, str, str]] = {}
         self._guesses: list[str] | None = None
+        self._completions: dict[tuple[str, bytes], list[str]] = {}
+        self.losses: dict[tuple[str, bool, bool], tuple[float, str]] = {}
+        self.gaps: dict[tuple[str, bool, bool], list[str]] = {}
+        self._leads: dict[str, frozenset[str]] | None = None
 
     def step(self, a: int, b: int, c: int) -> float:
         """Log probability of c after a, b; smoothed by shorter contexts."""
@@ -153,6 +180,11 @@ class Channel:
     def three(self, a: int, b: int, c: int) -> float:
         return min(self.tri[(a * _M1 ^ b * _M2 ^ c * _M3) & TRI - 1], self.tri2[(a * _N1 ^ b * _N2 ^ c * _N3) & TRI - 1])
 
+    def words(self, word: str) -> float:
+        """How often the corpus has a word with letters beyond ASCII."""
+        i, j = word_places(word)
+        return min(self.word[i], self.word2[j])
+
     def usual(self, window: str, at_start: bool, at_end: bool) -> bool:
         """Whether most sequences around the window's characters beyond ASCII occur in the corpus."""
         c = self.codes(window, at_start, at_end)
@@ -256,49 +288,175 @@ class Channel:
     # lost bytes
 
     def guesses(self) -> list[str]:
-        """The characters beyond ASCII that the corpus has most."""
+        """All characters beyond ASCII that the corpus has more than once, the most frequent first."""
         if self._guesses is None:
-            known = [c for d in READ_AS for c in _to_byte(d) if ord(c) >= 0xA0]
-            ranked = sorted(set(known), key=lambda c: (-self.uni[ord(c) & UNI - 1], c))
-            self._guesses = ranked[:GUESSES]
+            known = [chr(i) for i in range(0xA0, UNI) if self.uni[i] >= SEEN_TIMES and not 0xD800 <= i < 0xE000 and chr(i) != LOST]
+            self._guesses = sorted(known, key=lambda c: (-self.uni[ord(c)], c))
         return self._guesses
 
-    def fill(self, window: str, at_start: bool, at_end: bool) -> str:
-        """The likeliest text with each lost character replaced by one of the guesses: a Viterbi search."""
-        states = {"": 0.0}
-        tail = [_EDGE] if at_start else []
-        for x in [*window, "\0"] if at_end else window:
-            options = self.guesses() if x == LOST else [x]
-            nxt: dict[str, float] = {}
-            for text, s in states.items():
-                c = ([0, 0] + tail + self.codes(text[-2:], False, False))[-2:]
+    def completions(self, encoding: str, start: bytes) -> list[str]:
+        """Characters of the corpus whose UTF-8 bytes are ``start`` and one more: a wildcard of the lattice."""
+        key = (encoding, start)
+        known = self._completions.get(key)
+        if known is None:
+            known = [c for b in range(0x80, 0xC0) if len(c := (start + bytes([b])).decode("utf-8", "ignore")) == 1 and ord(c) < UNI and self.uni[ord(c)] >= SEEN_TIMES and ord(c) >= 0xA0]
+            self._completions[key] = known
+        return known
+
+    def leads(self) -> dict[str, frozenset[str]]:
+        """For each encoding the characters that may begin a sequence with a lost last byte."""
+        if self._leads is None:
+
+            def begins(d: str, b: int) -> bool:
+                if 0xC2 <= b < 0xE0:
+                    return bool(self.completions(d, bytes([b])))
+                return 0xE0 <= b < 0xF0 and any(self.completions(d, bytes([b, x])) for x in range(0x80, 0xC0))
+
+            self._leads = {d: frozenset(c for c, b in _to_byte(d).items() if begins(d, b)) for d in READ_AS}
+        return self._leads
+
+    def incomplete(self, window: str, at_start: bool, at_end: bool) -> list[str]:
+        """The encodings in which a window may hold a sequence with a lost byte, if it is in doubt at all."""
+        key = (window, at_start, at_end)
+        known = self.gaps.get(key)
+        if known is None:
+            if len(self.gaps) > MEMORY:
+                self.gaps.clear()
+            known = [d for d, leads in self.leads().items() if not leads.isdisjoint(window)]
+            if known and self.doubt(window, at_start, at_end) <= UTF8_GAIN:
+                known = []
+            self.gaps[key] = known
+        return known
+
+    def arcs(self, window: str, encoding: str) -> list[list[tuple[int, list[str]]]]:
+        """The byte lattice of a window read in an encoding: for each place the steps (characters taken, readings).
+
+        A character may stay as it is; characters whose bytes are a UTF-8 sequence may be read as that; a sequence
+        that lacks its last byte may be completed by a wildcard, which takes the stand-in of the lost byte or nothing.
+        """
+        to_byte = _to_byte(encoding)
+        data = [to_byte.get(x, 0) if ord(x) > 127 else 0 for x in window]
+        out = []
+        for i, x in enumerate(window):
+            here = [(1, [x])]
+            lead = data[i]
+            need = 1 if 0xC2 <= lead < 0xE0 else 2 if 0xE0 <= lead < 0xF0 else 3 if 0xF0 <= lead < 0xF5 else 0
+            have = 0
+            while have < need and i + 1 + have < len(data) and 0x80 <= data[i + 1 + have] < 0xC0:
+                have += 1
+            if need:
+                seq = bytes(data[i : i + 1 + have])
+                if have == need:
+                    text = seq.decode("utf-8", "ignore")
+                    if text:
+                        here.append((1 + have, [text]))
+                elif have == need - 1:
+                    readings = self.completions(encoding, seq)
+                    if readings:
+                        here.append((1 + have, readings))
+                        after = window[i + 1 + have : i + 2 + have]
+                        if after and (after == LOST or after in STAND_INS):
+                            here.append((2 + have, readings))
+            out.append(here)
+        return out
+
+    def search(self, window: str, arcs, at_start: bool, at_end: bool) -> tuple[float, str]:
+        """The likeliest path through a lattice: a Viterbi search whose states are the last two characters."""
+        first = (0, _EDGE) if at_start else (0, 0)
+        states: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(window) + 1)]
+        states[0][first] = (0.0, "")
+        for i in range(len(window)):
+            for (a, b), (s, text) in states[i].items():
+                for taken, readings in arcs[i]:
+                    nxt = states[i + taken]
+                    for r in readings:
+                        x, y, gain = a, b, s
+                        for c in r:
+                            code = 48 if "0" <= c <= "9" else ord(c)
+                            gain += self.step(x, y, code) if y else 0.0
+                            x, y = y, code
+                        old = nxt.get((x, y))
+                        if old is None or (gain, text + r) > old:
+                            nxt[x, y] = (gain, text + r)
+        ends = [(s + (self.step(x, y, _EDGE) if at_end and y else 0.0), text) for (x, y), (s, text) in states[-1].items()]
+        return max(ends)
+
+    def completed(self, window: str, at_start: bool, at_end: bool) -> tuple[float, str]:
+        """(gain, reading) of the likeliest reading of a window that has incomplete UTF-8 sequences; gain 0 if there is none."""
+        key = (window, at_start, at_end)
+        known = self.losses.get(key)
+        if known is not None:
+            return known
+        if len(self.losses) > MEMORY:
+            self.losses.clear()
+        score, best = self.score(window, at_start, at_end), (0.0, window)
+        for d in self.incomplete(window, at_start, at_end):
+            arcs = self.arcs(window, d)
+            if not any(len(readings) > 1 for a in arcs for _, readings in a):
+                continue
+            s, text = self.search(window, arcs, at_start, at_end)
+            best = max(best, (s - score, text))
+        self.losses[key] = best
+        return best
+
+    @staticmethod
+    def around(text: str, i: int, j: int) -> tuple[str, str]:
+        """The letters before and after a span, which belong to its words."""
+        return _LETTERS_BEFORE.search(text[max(0, i - 40) : i]).group(), _LETTERS_AFTER.match(text[j : j + 40]).group()
+
+    def lossy(self, text: str, i: int, j: int, window: str, at_start: bool, at_end: bool) -> tuple[str, int] | None:
+        """The reading of a window with lost bytes and how many characters behind it that takes.
+
+        None unless it is likelier and its words are known and more frequent than those that are there.
+        """
+        if not self.incomplete(window, at_start, at_end):
+            return None
+        # a byte that became a blank lies behind the window
+        tail = text[j : j + 1] if text[j : j + 1] and text[j : j + 1] in STAND_INS else ""
+        best = None
+        for more in ("", tail) if tail else ("",):
+            gain, reading = self.completed(window + more, at_start, at_end and not more)
+            if gain <= UTF8_GAIN:
+                continue
+            before, after = self.around(text, i, j + len(more))
+            new, old = WORD.findall(before + reading + after), WORD.findall(before + window + more + after)
+            if not new:
+                continue
+            rare = min(map(self.words, new))
+            was = max(map(self.words, old), default=0.0)
+            gain += WORD_WEIGHT * (math.log(rare + 0.5) - math.log(was + 0.5))
+            if gain > LOSS_GAIN and rare >= SEEN_TIMES and rare > was and (best is None or gain > best[0]):
+                best = gain, reading, len(more)
+        return best and best[1:]
+
+    def fill(self, before: str, window: str, after: str) -> str:
+        """The likeliest text with each lost character replaced by one that the corpus has.
+
+        A Viterbi search over characters; ``before`` and ``after`` are the letters around the window, so that a word is
+        whole when its frequency is weighed. A state is the last two characters and the word so far: where a
+        word ends its frequency counts, and states that end alike become one.
+        """
+        states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
+        for x in [*before, *window, *after, ""]:
+            if x == LOST and len(states) > BEAM:
+                states = dict(sorted(states.items(), key=lambda kv: (-kv[1][0], kv[0]))[:BEAM])
+            nxt: dict[tuple[str, str], tuple[float, str]] = {}
+            for (tail, word), (s, text) in states.items():
+                c = ([0, _EDGE] + self.codes(tail, False, False))[-2:]
+                options = [x]
+                if x == LOST:
+                    options = [g for g in self.guesses() if self.two(c[1], ord(g)) > 0] or self.guesses()
                 for o in options:
-                    code = _EDGE if o == "\0" else 48 if "0" <= o <= "9" else ord(o)
-                    gain = self.step(c[0], c[1], code) if c[1] else 0.0
-                    key = text if o == "\0" else text + o
-                    nxt[key] = max(nxt.get(key, -math.inf), s + gain)
-            states = dict(sorted(nxt.items(), key=lambda kv: (-kv[1], kv[0]))[:BEAM])
-        return max(states.items(), key=lambda kv: (kv[1], kv[0]))[0]
-
-    def completed(self, window: str, at_start: bool, at_end: bool) -> str:
-        """The window with one lost byte of an incomplete UTF-8 sequence filled in, if that is likelier."""
-        best = (self.score(window, at_start, at_end), window)
-        for d in ("cp1252", "cp1251", "mac_roman"):
-            to_byte, to_char = _to_byte(d), _to_char(d)
-            for i in range(len(window)):
-                lead = to_byte.get(window[i], 0)
-                need = 1 if 0xC2 <= lead < 0xE0 else 2 if 0xE0 <= lead < 0xF0 else 0
-                have = 0
-                while need and have < need and i + 1 + have < len(window) and 0x80 <= to_byte.get(window[i + 1 + have], 0) < 0xC0:
-                    have += 1
-                if need and have == need - 1:
-                    end = i + 1 + have
-                    rest = window[end + 1 :] if window[end : end + 1] == LOST else window[end:]
-                    start = bytes([lead, *(to_byte[c] for c in window[i + 1 : end])])
-                    for b in range(0x80, 0xC0):
-                        x = window[:i] + (start + bytes([b])).decode("utf-8", "ignore") + rest
-                        best = max(best, (self.score(x, at_start, at_end), x))
-        return best[1]
+                    gain = s + self.step(c[0], c[1], _EDGE if not o or o.isspace() else 48 if "0" <= o <= "9" else ord(o))
+                    longer = word + o if o.isalpha() else ""
+                    if not longer and not word.isascii():
+                        gain += WORD_WEIGHT * math.log(self.words(word) + 0.5)
+                    key, value = ((text + o)[-2:], longer), (gain, text + o)
+                    if key not in nxt or value > nxt[key]:
+                        nxt[key] = value
+            states = nxt
+        found = max(states.values())[1]
+        return found[len(before) : len(found) - len(after)]
 
     # windows and texts
 
@@ -333,7 +491,7 @@ class Channel:
     def damaged(self, text: str) -> bool:
         if text.isascii():
             return False
-        return LOST in text or any(self.examine(w, s, e)[0] > 0 for _, _, w, s, e in self.windows(text))
+        return LOST in text or any(self.examine(w, s, e)[0] > 0 or self.lossy(text, i, j, w, s, e) for i, j, w, s, e in self.windows(text))
 
     def undone(self, window: str, channel: str, at_start: bool, at_end: bool) -> str | None:
         """The window with the steps of a channel undone, the last one first; None if that can't be."""
@@ -363,14 +521,20 @@ class Channel:
         channels = sorted({x[7] for x in spans if x[5] > 0})
         out, last, lost = [], 0, False
         for i, j, w, s, e, gain, fixed, _ in spans:
-            if gain <= 0:
+            i, w = max(i, last), w[max(0, last - i) :]  # a stand-in may have been taken
+            if gain <= 0 and w:
                 score = self.score(w, s, e)
                 other = [(self.score(x, s, e), x) for c in channels if (x := self.undone(w, c, s, e)) is not None]
                 fixed = max([o for o in other if o[0] >= score], default=(0, w))[1]
-            if fixed != w or LOST in w:
-                fixed = self.completed(fixed, s, e)
-                if LOST in fixed:
-                    fixed, lost = self.fill(fixed, s, e), True
+                found = self.lossy(text, i, j, w, s, e) if fixed == w else None
+                if found:
+                    fixed, j, lost = found[0], j + found[1], True
+            elif w:
+                more, reading = self.completed(fixed, s, e)
+                if more > UTF8_GAIN:
+                    fixed, lost = reading, True
+            if LOST in fixed:
+                fixed, lost = self.fill(self.around(text, i, j)[0], fixed, self.around(text, i, j)[1]), True
             out += [text[last:i], fixed]
             last = j
         return "".join(out) + text[last:], "; ".join(channels + ["lost bytes"] * lost)
