@@ -74,15 +74,44 @@ def brute_leaks(texts, items, n=12):
 
 
 @pytest.mark.parametrize("item_windows", [leakage.ITEM_WINDOWS, 100])
-def test_leaks(spark, monkeypatch, item_windows):
-    monkeypatch.setattr(leakage, "ITEM_WINDOWS", item_windows)
+def test_leaks(spark, item_windows):
     texts, items = leak_cases()
-    found = leakage.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM)).collect()
+    found = leakage.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM), item_windows=item_windows).collect()
     got = {(r.doc_id, r.item_id) for r in found if r.exact}
     assert got == brute_leaks(texts, items)
     assert {(0, 0), (0, 9), (3, 0), (4, 1), (5, 0), (5, 2), (10, 3)} <= got and not any(d in (1, 2) for d, _ in got)
 
 
+def test_edited_items_are_found_by_windows_of_their_size(spark):
+    """All windows of an item's size with a similarity of 0.8 or more, whichever word was edited."""
+    import numpy as np
+
+    rng = random.Random(3)
+    items, texts = [], []
+    for i in range(40):
+        w = rng.choices(WORDS, k=rng.choice([44, 60, 61, 90]))
+        items.append((i, "s", None, " ".join(w), "t"))
+        for at in rng.sample(range(len(w)), rng.choice([1, 1, 2])):
+            w[at] = "edited"
+        texts.append(" ".join(rng.choices(WORDS, k=9) + w + rng.choices(WORDS, k=30)))
+    want = {}
+    for d, t in enumerate(texts):
+        words = leakage.words(t)
+        for i, _, _, a, _ in items:
+            v = leakage.words(a)
+            runs = [words[j : j + len(v)] for j in range(len(words) - len(v) + 1)]
+            if runs:
+                h, n = (np.array([[f(x) for x in r] for r in [v, *runs]]) for f in (lambda x: np.uint64(leakage.xxhash.xxh3_64_intdigest(x.encode())), len))
+                best = leakage.weighted_similarity(h[1:], np.repeat(h[:1], len(runs), 0), n[1:], np.repeat(n[:1], len(runs), 0)).max()
+                if best >= leakage.SIMILAR:
+                    want[d, i] = best
+    # with exact passages of 44 words only
+    got = {(r.doc_id, r.item_id): r.similarity for r in leakage.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM), window=44).collect() if not r.exact}
+    assert len(want) >= 15 and len(got) >= 5 and got == pytest.approx({k: v for k, v in want.items() if k in got})
+    every = {(r.doc_id, r.item_id) for r in leakage.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM), window=44).collect()}
+    assert want.keys() <= every
+
+
 def test_similar_windows_equal_brute_force(spark):
     import numpy as np
 

@@ -1,7 +1,8 @@
 """Evaluation texts leaking into a corpus.
 
-Every text is read as words and cut into windows of as many words as a passage needs. A window's fingerprint
-is the SimHash of its words. Fingerprints are looked up in several indexes, one for each block of their bits:
+Every text is read as words and cut into windows: of as many words as a passage needs, for passages that stand word by
+word in a text, and of as many words as an item's question or answer has, for whole items that were edited. A
+window's fingerprint is the SimHash of its words. Fingerprints are looked up in several indexes, one for each block of their bits:
 two fingerprints that differ in fewer bits than there are blocks agree in one block at least, so no pair
 within that radius is missed. Windows may be similar and their fingerprints far apart, so for similar windows the
 word shingles are looked up too: of a window that is similar enough, any shingles with more of its weight than may
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Words of a window, words of a shingle, least similarity, bits of difference and blocks of 64 / BLOCKS bits.
 WINDOW, SHINGLE, SIMILAR, RADIUS, BLOCKS = 12, 5, 0.8, 3, 4
@@ -54,23 +55,18 @@ class _Hashes(dict):
         return value
 
 
-def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """SimHash of every window of a run of word hashes."""
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """(words + 1, 64): how many of the words before each place have each bit."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    kind = np.uint8 if window < 256 else np.int32
-    # sums over runs of 1, 2, 4, ... words, put together to the window's length
-    run, size, sums, done = bits.astype(kind), 1, None, 0
-    while True:
-        if window & size:
-            part = run[done:]
-            sums = part if sums is None else sums[: len(part)] + part[: len(sums)]
-            done += size
-        if size * 2 > window:
-            break
-        run = run[:-size] + run[size:]
-        size *= 2
-    sums = sums[: len(hashes) - window + 1]
-    return np.packbits(sums > window // 2, axis=1).view(np.uint64).ravel()
+    out = np.zeros((len(hashes) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=out[1:])
+    return out
+
+
+def fingerprints(hashes: np.ndarray, window: int = WINDOW, sums: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of every window of a run of word hashes: the majority of each bit."""
+    sums = bit_sums(hashes) if sums is None else sums
+    return np.packbits(2 * (sums[window:] - sums[:-window]) > window, axis=1).view(np.uint64).ravel()
 
 
 def shingle_hashes(rows: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -94,7 +90,7 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray, weights_a: np.ndarray, wei
 
 
 class ItemIndex:
-    """Distinct windows of the items, their items, and one lookup table for each block of fingerprint bits."""
+    """Distinct windows of some length of the items, their items, and one lookup table for each block of fingerprint bits."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, blocks: int = BLOCKS):
         hashes, rows, sizes, owners = _Hashes(), [], [], []
@@ -114,7 +110,7 @@ class ItemIndex:
         self.owner_from = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
         bits = np.unpackbits(np.ascontiguousarray(self.rows).view(np.uint8).reshape(len(self.rows), window, 8), axis=2).astype(np.int32) if len(self.rows) else np.zeros((0, window, 64), np.int32)
         self.prints = np.packbits(bits.sum(axis=1) * 2 > window, axis=1).view(np.uint64).ravel() if len(self.rows) else np.zeros(0, np.uint64)
-        shingles = shingle_hashes(self.rows)
+        shingles = shingle_hashes(self.rows) if len(self.rows) else np.zeros((0, 1), np.uint64)
         order = np.argsort(shingles, axis=None, kind="stable")
         self.shingles, self.holder = shingles.ravel()[order], order // max(1, shingles.shape[1])
         self.tables = []
@@ -140,7 +136,6 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-
     def sharing(self, hashes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in ``starts``, window of an item), each once: all that may reach the similarity, and others."""
         each = self.window - SHINGLE + 1
@@ -162,41 +157,64 @@ class ItemIndex:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _scan(index: ItemIndex, radius: int, similar: float | None):
-    window = index.window
+def item_sized(items: list[tuple[int, str]], least: int, blocks: int) -> list[ItemIndex]:
+    """An index of whole passages for each length that passages of at least ``least`` words have."""
+    by_length: dict[int, list[tuple[int, str]]] = {}
+    for item, text in items:
+        n = len(words(text))
+        if n >= least:
+            by_length.setdefault(n, []).append((item, text))
+    return [ItemIndex(part, n, blocks) for n, part in sorted(by_length.items())]
 
-    def chunk(keys: list[int], texts: list[list[str]], hashes: _Hashes):
-        """Rows (key, item, similarity, whether word by word) of some texts."""
-        lengths = np.array([len(t) for t in texts])
-        flat = [w for t in texts for w in t]
-        h = np.array([hashes[w] for w in flat], np.uint64)
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        inside = owner[: len(h) - window + 1] == owner[window - 1 :]
-        prints = fingerprints(h, window)
-        starts = np.flatnonzero(inside)
-        sizes = np.array([len(w) for w in flat], np.int32)
-        at, other = index.candidates(prints[starts], radius)
-        if similar is not None:
+
+def _scan(passages: ItemIndex, whole: list[ItemIndex], radius: int, similar: float):
+    """Passages must stand word by word in a text, windows of the size of whole items must be similar."""
+    least = passages.window
+
+    def matches(index: ItemIndex, h, sizes, owner, sums, exactly: bool):
+        """(text, item, similarity, whether word by word) of the windows of an index."""
+        window = index.window
+        if len(h) < window or not len(index.rows):
+            return None
+        starts = np.flatnonzero(owner[: len(h) - window + 1] == owner[window - 1 :])
+        if not len(starts):
+            return None
+        at, other = index.candidates(fingerprints(h, window, sums)[starts], radius)
+        if not exactly:
             more = np.stack(index.sharing(h, sizes, starts, similar), axis=1)
             at, other = np.unique(np.concatenate([np.stack([at, other], axis=1), more]), axis=0).T
         if not len(at):
             return None
-        at = starts[at]
-        mine = np.lib.stride_tricks.sliding_window_view(h, window)[at]
-        theirs = index.rows[other]
+        at, view = starts[at], np.lib.stride_tricks.sliding_window_view
+        mine, theirs = view(h, window)[at], index.rows[other]
         exact = (mine == theirs).all(axis=1)
         score = np.ones(len(at))
         rest = np.flatnonzero(~exact)
-        if len(rest) and similar is not None:
-            score[rest] = weighted_similarity(mine[rest], theirs[rest], np.lib.stride_tricks.sliding_window_view(sizes, window)[at[rest]], index.sizes[other[rest]])
-        keep = exact if similar is None else exact | (score >= similar)
+        if exactly:
+            keep = exact
+        else:
+            for lo in range(0, len(rest), 4_096):
+                part = rest[lo : lo + 4_096]
+                score[part] = weighted_similarity(mine[part], theirs[part], view(sizes, window)[at[part]], index.sizes[other[part]])
+            keep = exact | (score >= similar)
         at, other, exact, score = at[keep], other[keep], exact[keep], score[keep]
         n = index.owner_from[other + 1] - index.owner_from[other]
         item = index.owner_of[np.repeat(index.owner_from[other] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(other) else np.zeros(0, np.int64)
+        return np.repeat(owner[at], n), item, np.repeat(score, n), np.repeat(exact, n)
+
+    def chunk(keys: list[int], texts: list[list[str]], hashes: _Hashes):
+        """Rows (key, item, similarity, whether word by word) of some texts."""
+        flat = [w for t in texts for w in t]
+        h = np.array([hashes[w] for w in flat], np.uint64)
+        owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts]))
+        sums = bit_sums(h)
+        sizes = np.array([len(w) for w in flat], np.int32) if whole else None
         best: dict[tuple[int, int], tuple[float, bool]] = {}
-        for k, i, s, e in zip(np.repeat(owner[at], n).tolist(), item.tolist(), np.repeat(score, n).tolist(), np.repeat(exact, n).tolist()):
-            old = best.get((k, i), (0.0, False))
-            best[k, i] = (max(old[0], s), old[1] or e)
+        for index in (passages, *whole):
+            found = matches(index, h, sizes, owner, sums, index is passages)
+            for k, i, s, e in zip(*(x.tolist() for x in found)) if found else ():
+                old = best.get((k, i), (0.0, False))
+                best[k, i] = (max(old[0], s), old[1] or e)
         return [(keys[k], i, s, e) for (k, i), (s, e) in best.items()]
 
     def run(batches):
@@ -212,7 +230,7 @@ def _scan(index: ItemIndex, radius: int, similar: float | None):
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(text) if text else []
-                if len(w) >= window:
+                if len(w) >= least:
                     keys.append(key)
                     texts.append(w)
                     held += len(w)
@@ -228,27 +246,32 @@ def _scan(index: ItemIndex, radius: int, similar: float | None):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, blocks: int = BLOCKS, similar: float | None = SIMILAR) -> DataFrame:
-    """(doc_id, item_id, similarity, exact): corpus texts that hold a passage of an item's question or answer.
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, blocks: int = BLOCKS, similar: float | None = SIMILAR, item_windows: int = ITEM_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, similarity, exact): corpus texts that hold a passage of an item's question or answer, or all of it edited.
 
-    ``exact``: ``window`` consecutive words of the item stand consecutively in the text; otherwise a window is
-    similar by its weighted shingles; without ``similar`` only exact ones are looked for. Passages shorter than a window, null texts and rows with null ids give
+    ``exact``: ``window`` consecutive words of the item stand consecutively in the text. Otherwise a run of as many
+    words as the question or answer has is similar to it by weighted shingles of five words; without ``similar`` only
+    exact ones are looked for. Passages shorter than a window, null texts and rows with null ids give
     nothing; an item listed under two ids is reported under both. The items are a stated query set, taken in
-    blocks of at most ``ITEM_WINDOWS`` windows; the corpus is read once for each block and never shuffled.
+    blocks of about ``item_windows`` windows, one after the other, so that one index is held at a time; the corpus is
+    read once for each block and never shuffled.
     """
     if radius >= blocks or 64 % blocks:
         raise ValueError("the radius must be below the number of blocks, which must divide 64")
     spark = documents.sparkSession
     passages = items.where("item_id is not null").select("item_id", F.explode(F.array("question", "answer")).alias("passage")).where("passage is not null")
     corpus = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    # windows a passage can have: at most its characters; blocks are runs of item ids
-    sized = passages.select("item_id", "passage", F.length("passage").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-total // (2 * ITEM_WINDOWS)) or 1
+    # windows a passage can have: at most its characters; blocks are chosen by a hash
+    total = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
+    n_blocks = -(-total // (2 * item_windows)) or 1
     out = None
     for i in range(n_blocks):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)) == i)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.passage) for r in part.select("item_id", "passage").collect()], window, blocks))
-        found = corpus.mapInArrow(lambda b, index=index: _scan(index.value, radius, similar)(b), "doc_id long, item_id long, similarity double, exact boolean")
+        part = passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)) == i) if n_blocks > 1 else passages
+        given = [(r.item_id, r.passage) for r in part.collect()]  # about ``item_windows`` words
+        index = spark.sparkContext.broadcast((ItemIndex(given, window, blocks), item_sized(given, window, blocks) if similar is not None else []))
+        found = corpus.mapInArrow(lambda b, index=index: _scan(*index.value, radius, similar)(b), "doc_id long, item_id long, similarity double, exact boolean")
+        if n_blocks > 1:
+            found = cut(found)
+            index.destroy()
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))

@@ -47,7 +47,7 @@ LOST = "\ufffd"
 #: A window: characters beyond ASCII with up to two others on each side, which is all the model looks at.
 WINDOW = re.compile(r"[!-~]{0,2}(?:[^\x00-\x7f](?:[!-~]{1,3}(?=[^\x00-\x7f]))?)+[!-~]{0,2}")
 #: A word with a letter beyond ASCII, which is what word frequencies are counted of.
-WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
+WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
 _LETTERS_BEFORE, _LETTERS_AFTER = re.compile(r"[^\W\d_]{0,40}\Z"), re.compile(r"[^\W\d_]{0,40}")
 #: What may stand where a continuation byte was lost: a blank or question mark in its place, or nothing.
 STAND_INS = " ?\xa0"
@@ -158,6 +158,7 @@ class Channel:
         self.losses: dict[tuple[str, bool, bool], tuple[float, str]] = {}
         self.gaps: dict[tuple[str, bool, bool], list[str]] = {}
         self._leads: dict[str, frozenset[str]] | None = None
+        self.quiet: set[tuple[str, bool, bool]] = set()
 
     def step(self, a: int, b: int, c: int) -> float:
         """Log probability of c after a, b; smoothed by shorter contexts."""
@@ -491,7 +492,19 @@ class Channel:
     def damaged(self, text: str) -> bool:
         if text.isascii():
             return False
-        return LOST in text or any(self.examine(w, s, e)[0] > 0 or self.lossy(text, i, j, w, s, e) for i, j, w, s, e in self.windows(text))
+        if LOST in text:
+            return True
+        for i, j, *window in self.windows(text):
+            key = tuple(window)
+            if key in self.quiet:
+                continue
+            if self.examine(*key)[0] > 0 or self.lossy(text, i, j, *key):
+                return True
+            if not self.incomplete(*key):  # such a window is harmless wherever it stands
+                if len(self.quiet) > MEMORY:
+                    self.quiet.clear()
+                self.quiet.add(key)
+        return False
 
     def undone(self, window: str, channel: str, at_start: bool, at_end: bool) -> str | None:
         """The window with the steps of a channel undone, the last one first; None if that can't be."""
