@@ -1,7 +1,8 @@
 """Metadata predicates: a small tree of conditions turned into one column.
 
 A row without a field satisfies no condition on it; ``Not`` is true negation, so it keeps such rows.
-Numbers are compared as doubles; texts that are no numbers satisfy no range.
+Numbers are compared as doubles; texts that are no numbers satisfy no range. Conditions on typed columns stay
+plain comparisons, so that they reach the scan.
 """
 
 from __future__ import annotations
@@ -108,27 +109,47 @@ _OPS: dict[str, Callable[[Column, float], Column]] = {
 }
 
 
-def condition(f: Filter, field: Callable[[str], Column] = F.col) -> Column:
-    """The filter as a column that is never null; ``field`` gives the column of a field."""
+#: Types whose columns are compared as numbers without a cast.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def condition(f: Filter, field: Callable[[str], Column] = F.col, kinds: dict[str, str] | None = None) -> Column:
+    """The filter as a column for ``where``, null or false where it does not hold; ``field`` gives the column of a field.
+
+    ``kinds`` (``dict(df.dtypes)``) names the fields' types: numeric columns are then compared as they are, other
+    columns than strings as text. Fields without a known type are texts.
+    """
+    kinds = kinds or {}
+
+    def number(name: str) -> Column:
+        return field(name) if kinds.get(name, "").startswith(NUMBERS) else field(name).try_cast("double")
+
+    def text(name: str) -> Column:
+        return field(name) if kinds.get(name, "string") == "string" else field(name).cast("string")
+
     match f:
         case Eq(name, value):
-            c = field(name) == value
+            return text(name) == value
         case In(name, values):
-            c = field(name).isin(*values)
+            return text(name).isin(*values)
         case Compare(name, op, value):
-            c = _OPS[op](field(name).try_cast("double"), float(value))
+            return _OPS[op](number(name), float(value))
         case Range(name, low, high, exclusive):
-            x = field(name).try_cast("double")
-            c = (x > low) & (x < high) if exclusive else x.between(low, high)
+            x = number(name)
+            return (x > float(low)) & (x < float(high)) if exclusive else (x >= float(low)) & (x <= float(high))
         case And(parts):
-            return reduce(lambda a, b: a & b, (condition(p, field) for p in parts), F.lit(True))
+            return reduce(lambda a, b: a & b, (condition(p, field, kinds) for p in parts), F.lit(True))
         case Or(parts):
-            return reduce(lambda a, b: a | b, (condition(p, field) for p in parts), F.lit(False))
+            return reduce(lambda a, b: a | b, (condition(p, field, kinds) for p in parts), F.lit(False))
         case Not(part):
-            return ~condition(part, field)
+            return ~F.coalesce(condition(part, field, kinds), F.lit(False))
         case _:
             raise TypeError(f"no filter: {f!r}")
-    return F.coalesce(c, F.lit(False))
+
+
+def matching(df: DataFrame, f: Filter) -> DataFrame:
+    """The rows of a typed table that satisfy the filter."""
+    return df.where(condition(f, kinds=dict(df.dtypes)))
 
 
 def map_field(column: str = "metadata") -> Callable[[str], Column]:

@@ -14,14 +14,17 @@ from .knn import ranked
 
 #: The constant of reciprocal ranks and the least range of a normalised list.
 RRF_K, LEAST_RANGE = 60, 1e-6
+#: What stands for infinity in scaled scores.
+LARGEST = 1e300
 #: Names of the dense and sparse fusions.
 FUSIONS = {"weighted": "weighted", "linear": "weighted", "rrf": "rrf", "reciprocal_rank_fusion": "rrf", "max": "max", "maximum": "max"}
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(qid, id, a, b) with the limits of each list."""
+    """(qid, id, a, b) with the limits of each list; infinite scores count as the largest numbers."""
     out = None
-    for name, df in (("a", a), ("b", b)):
+    finite = F.greatest(F.least("score", F.lit(LARGEST)), F.lit(-LARGEST))
+    for name, df in (("a", a.withColumn("score", finite)), ("b", b.withColumn("score", finite))):
         limits = df.groupBy("qid").agg(F.min("score").alias(f"{name}_min"), F.max("score").alias(f"{name}_max"))
         rows = df.select("qid", "id", F.col("score").alias(name)).join(limits, "qid")
         out = rows if out is None else out.join(rows, ["qid", "id"], "full_outer")

@@ -24,6 +24,8 @@ SLICE = 2_000_000
 #: Scores are rounded to this many digits before they are ranked, ties go to the smaller id.
 DIGITS = 9
 TINY = 1e-10
+#: Lists that are named in a filter at most.
+LISTED = 4_096
 
 
 def score_matrix(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -44,46 +46,57 @@ def score_matrix(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return squared if metric == "l2_squared" else np.sqrt(squared)
 
 
+def _better(best, rows, scores, ids, k):
+    """Merges the scores (queries, candidates) of some queries (``rows``) into their best k."""
+    old, who = best
+    scores = np.concatenate([old[rows], scores], axis=1)
+    names = np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+    if scores.shape[1] > 4 * k:
+        bound = np.partition(scores, k - 1, axis=1)[:, k - 1 : k]
+        width = int((scores <= bound).sum(axis=1).max())
+        pick = np.argsort(scores, axis=1, kind="stable")[:, :width]
+        scores, names = np.take_along_axis(scores, pick, 1), np.take_along_axis(names, pick, 1)
+    order = np.lexsort((names, scores), axis=1)[:, :k]
+    old[rows], who[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+
+
 def _local_top(qids, qvecs, k, metric, probes=None):
     """Best k of each query among a task's rows; with ``probes`` (qid -> list ids) only rows of those lists (third column)."""
     groups = {}
     for n in {len(v) for v in qvecs}:
         at = [i for i, v in enumerate(qvecs) if len(v) == n]
-        groups[n] = (np.array([qids[i] for i in at]), np.array([qvecs[i] for i in at], np.float64))
+        own = np.array([qids[i] for i in at])
+        asks: dict[int, list[int]] = {}
+        for i, qid in enumerate(own.tolist()) if probes is not None else ():
+            for x in probes.get(qid, ()):
+                asks.setdefault(x, []).append(i)
+        groups[n] = (own, np.array([qvecs[i] for i in at], np.float64), {x: np.array(v) for x, v in asks.items()})
 
     def run(batches):
-        best = {n: (np.zeros((len(g[0]), 0)), np.zeros((len(g[0]), 0), np.int64)) for n, g in groups.items()}
+        best = {n: (np.full((len(g[0]), k), np.inf), np.full((len(g[0]), k), np.iinfo(np.int64).max)) for n, g in groups.items()}
         for b in batches:
             column = b.column(1)
             ids = b.column(0).to_numpy(zero_copy_only=False)
             lengths = np.asarray(column.value_lengths().fill_null(0))
             flat, starts = np.asarray(column.flatten(), np.float64), np.r_[0, np.cumsum(lengths)]
-            for n, (qid, q) in groups.items():
+            for n, (qid, q, asks) in groups.items():
                 at = np.flatnonzero(lengths == n)
-                step = max(128, SLICE // len(qid))
-                for lo in range(0, len(at), step):
-                    part = at[lo : lo + step]
-                    m = flat[starts[part][:, None] + np.arange(n)]
-                    s = np.round(score_matrix(m, q, metric), DIGITS) + 0.0
-                    s = np.where(np.isnan(s), np.inf, s)
-                    if probes is not None:
-                        lists = b.column(2).to_numpy(zero_copy_only=False)[part]
-                        s = np.where(np.stack([np.isin(lists, probes.get(x, ())) for x in qid.tolist()]), s, np.inf)
-                    scores = np.concatenate([best[n][0], s], axis=1)
-                    who = np.concatenate([best[n][1], np.broadcast_to(ids[part], s.shape)], axis=1)
-                    if scores.shape[1] > 4 * k:
-                        bound = np.partition(scores, k - 1, axis=1)[:, k - 1 : k]
-                        width = int((scores <= bound).sum(axis=1).max())
-                        pick = np.argsort(scores, axis=1, kind="stable")[:, :width]
-                        scores, who = np.take_along_axis(scores, pick, 1), np.take_along_axis(who, pick, 1)
-                    order = np.lexsort((who, scores), axis=1)[:, :k]
-                    best[n] = (np.take_along_axis(scores, order, 1), np.take_along_axis(who, order, 1))
-        for n, (qid, _) in groups.items():
+                parts = [(np.arange(len(qid)), at)]
+                if probes is not None:
+                    lists = b.column(2).to_numpy(zero_copy_only=False)[at]
+                    parts = [(asks[x], at[lists == x]) for x in np.unique(lists).tolist() if x in asks]
+                for rows, own in parts:
+                    step = max(128, SLICE // len(rows))
+                    for lo in range(0, len(own), step):
+                        part = own[lo : lo + step]
+                        m = flat[starts[part][:, None] + np.arange(n)]
+                        s = np.round(score_matrix(m, q[rows], metric), DIGITS) + 0.0
+                        _better(best[n], rows, np.where(np.isnan(s), np.inf, s), ids[part], k)
+        for n, (qid, _, _) in groups.items():
             scores, who = best[n]
-            if scores.shape[1]:
-                keep = np.isfinite(scores).ravel()
-                cols = [np.repeat(qid, scores.shape[1])[keep], who.ravel()[keep], scores.ravel()[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "id", "score"])
+            keep = np.isfinite(scores).ravel()
+            cols = [np.repeat(qid, k)[keep], who.ravel()[keep], scores.ravel()[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "id", "score"])
 
     return run
 
@@ -120,7 +133,10 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
             own = probes.join(part.select("qid"), "qid", "left_semi")
             seen = {r.qid: r.lists for r in own.groupBy("qid").agg(F.collect_set("list_id").alias("lists")).collect()}
         run = _local_top([r.qid for r in rows], [r.qvec for r in rows], k, metric, seen)
-        found = base.mapInArrow(run, schema)
+        given_lists = sorted({x for v in seen.values() for x in v}) if seen else []
+        # only the lists that a query of the block asks for are read; stored by list_id, other folders are not opened
+        read = base.where(F.col("list_id").isin(given_lists)) if 0 < len(given_lists) <= LISTED else base
+        found = read.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)

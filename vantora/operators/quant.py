@@ -55,6 +55,38 @@ class ScalarQuantizer:
         lo, scale = self._arrays()
         return F.zip_with(F.zip_with(code, scale, lambda q, s: q / s), lo, lambda x, m: x + m)
 
+    def pack(self, vectors: DataFrame, column: str = "vector") -> DataFrame:
+        """(id, code): a byte for each component, to be stored."""
+        lo, scale = np.array(self.lo), np.array(self.scale)
+
+        def run(batches):
+            for b in batches:
+                for at, m in by_length(b.column(1)):
+                    codes = np.clip(np.floor((m.astype(np.float64) - lo) * scale), 0, 255).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), binary(codes)], names=["id", "code"])
+
+        rows = vectors.where(F.col("id").isNotNull() & (F.size(column) == len(self.lo)))
+        return rows.select("id", column).mapInArrow(run, "id long, code binary")
+
+    def search(self, coded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, score, rank): squared distances of float queries to byte codes, by one product with the bytes.
+
+        |q - (c / s + lo)|^2 = |q - lo|^2 - 2 (q - lo) / s . c + |c / s|^2, so nothing is decoded.
+        """
+        lo, scale = np.array(self.lo), np.array(self.scale)
+
+        def scorer(q: np.ndarray):
+            shifted = q - lo
+            square, factor = (shifted * shifted).sum(axis=1)[:, None], shifted / scale
+
+            def score(codes: np.ndarray) -> np.ndarray:
+                c = codes.astype(np.float64)
+                return np.maximum(0.0, square - 2 * factor @ c.T + ((c / scale) ** 2).sum(axis=1))
+
+            return score
+
+        return code_search(coded.select("id", "code"), queries.where(F.size("qvec") == len(self.lo)), k, scorer, lambda dim: dim)
+
     def symmetric(self, a: Column, b: Column) -> tuple[Column, Column]:
         """Squared distance of two codes: by the mean scale, and by each component's own."""
         lo, scale = self._arrays()
@@ -220,15 +252,95 @@ def sign_distance(product: Column, query_norm: Column, norm: Column, dim: Column
     return F.greatest(F.lit(0.0), query_norm * query_norm + norm * norm - 2 * F.sqrt(F.lit(2 / np.pi)) * estimate)
 
 
-def sign_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) by estimated distances: each vector enters as its signs times norm, so one matrix product scores a block."""
-    from .knn import knn_join, ranked
+def sign_codes(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """(id, code, norm): the signs of a vector's components packed into bytes, lowest bit first, and its length."""
+
+    def run(batches):
+        for b in batches:
+            for at, m in by_length(b.column(1)):
+                m = m.astype(np.float64)
+                bits = np.packbits(m > 0, axis=1, bitorder="little")
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), binary(bits), pa.array(np.sqrt((m * m).sum(axis=1))), pa.array(np.full(len(at), m.shape[1], np.int32))], names=["id", "code", "norm", "dim"])
+
+    rows = vectors.where(F.col("id").isNotNull() & (F.size(column) > 0)).select("id", column)
+    return rows.mapInArrow(run, "id long, code binary, norm double, dim int")
+
 
-    # |q|^2 + |x|^2 - 2 c (q . s) |x| / sqrt(d): with x' = c s |x| / sqrt(d) this is l2^2(q, x') - |x'|^2 + |x|^2
-    size = F.size("vector")
-    norm = vec.norm(F.col("vector"))
-    scaled = F.transform("vector", lambda x: F.when(x > 0, 1.0).otherwise(-1.0) * F.sqrt(F.lit(2 / np.pi)) * norm / F.sqrt(size))
-    near = knn_join(vectors.select("id", scaled.alias("vector")), queries, k * 4, "l2_squared")
-    back = vectors.select("id", (norm * norm * (1 - 2 / np.pi)).alias("lift"))
-    rows = near.join(back, "id").select("qid", "id", F.round(F.greatest(F.lit(0.0), F.col("score") + F.col("lift")), 9).alias("score"))
-    return ranked(rows, k)
+def sign_search(coded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank) of the k best by estimated distances, from packed signs (id, code, norm, dim).
+
+    Each query has a table of 256 partial products for every byte of a code; a code's product is read from these.
+    """
+
+    def scorer(q: np.ndarray):
+        dim, width = q.shape[1], -(-q.shape[1] // 8)
+        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1
+        padded = np.zeros((len(q), width * 8))
+        padded[:, :dim] = q
+        tables = np.einsum("qwb,cb->qwc", padded.reshape(len(q), width, 8), signs)
+        square = (q * q).sum(axis=1)[:, None]
+
+        def score(codes: np.ndarray, norm: np.ndarray, dims: np.ndarray) -> np.ndarray:
+            product = sum(tables[:, j, codes[:, j]] for j in range(width))
+            return np.maximum(0.0, square + norm * norm - 2 * np.sqrt(2 / np.pi) * product * norm / np.sqrt(dim))
+
+        return score
+
+    return code_search(coded.select("id", "code", "norm", "dim"), queries, k, scorer, lambda dim: -(-dim // 8))
+
+
+def by_length(column: pa.Array):
+    """(row numbers, matrix) for each length of an array column; nulls and empty arrays give none."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    flat, starts = np.asarray(column.flatten()), np.r_[0, np.cumsum(lengths)]
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        yield at, flat[starts[at][:, None] + np.arange(n)]
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows, np.uint8).tobytes())])
+
+
+def code_search(coded: DataFrame, queries: DataFrame, k: int, scorer, width, block: int = 512) -> DataFrame:
+    """(qid, id, score, rank) of the k best codes of each query.
+
+    ``coded``: id, code (binary) and further numeric columns; ``scorer(q)`` gives a function of (codes, *columns) to
+    scores (queries, rows), smaller is better; ``width(dim)`` is a code's length for queries of a dimension. Codes of
+    another length are not compared. Scores have nine digits, ties go to the smaller id.
+    """
+    from .knn import DIGITS, _better, ranked
+
+    spark, schema = coded.sparkSession, "qid long, id long, score double"
+    given = queries.where("qid is not null and qvec is not null").select("qid", "qvec")
+    blocks = max(1, -(-given.count() // block))
+    out = None
+    for i in range(blocks):
+        rows = given.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()  # about `block` queries
+        if not rows:
+            continue
+
+        def run(batches, rows=rows):
+            groups = {}
+            for n in {len(r.qvec) for r in rows}:
+                own = [r for r in rows if len(r.qvec) == n]
+                groups[n] = (np.array([r.qid for r in own]), scorer(np.array([r.qvec for r in own], np.float64)), (np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)))
+            for b in batches:
+                ids, column = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+                more = [c.to_numpy(zero_copy_only=False) for c in b.columns[2:]]
+                for n, (qid, score, best) in groups.items():
+                    at = np.flatnonzero(sizes == width(n))
+                    for lo in range(0, len(at), 4_096):
+                        part = at[lo : lo + 4_096]
+                        codes = np.frombuffer(b"".join(column.take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1)
+                        _better(best, np.arange(len(qid)), np.round(score(codes, *(c[part] for c in more)), DIGITS) + 0.0, ids[part], k)
+            for qid, _, (scores, who) in groups.values():
+                keep = np.isfinite(scores).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(qid, k)[keep], who.ravel()[keep], scores.ravel()[keep])], names=["qid", "id", "score"])
+
+        found = coded.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out if out is not None else spark.createDataFrame([], schema), k)

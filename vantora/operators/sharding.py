@@ -42,6 +42,23 @@ def route(position: Column, nodes: list[tuple[int, int]]) -> Column:
     return owner(position)
 
 
+def name_hash(name: Column) -> Column:
+    """A 32-bit position of a name: the first four bytes of its MD5 sum."""
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
+
+
+def vector_hash(vector: Column) -> Column:
+    """A 32-bit position of a new vector by its first four components, in millionths."""
+    first = F.transform(F.slice(vector, 1, 4), lambda x: F.floor(x.cast("double") * 1_000_000 + 0.5).cast("bigint").cast("string"))
+    return name_hash(F.array_join(first, ","))
+
+
+def by_global_ids(rows: DataFrame, gids: DataFrame) -> DataFrame:
+    """Rows (shard, id, ...) that global ids (gid) name."""
+    shard, local = split_id(F.col("gid"))
+    return rows.join(gids.select("gid", shard.alias("shard"), local.alias("id")), ["shard", "id"])
+
+
 def global_id(shard: Column, local: Column) -> Column:
     return F.shiftleft(shard.cast("bigint"), LOCAL_BITS).bitwiseOR(local.bitwiseAND(F.lit(LOCAL_MASK)))
 

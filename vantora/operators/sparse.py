@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .knn import ranked
+from ..session import cut, guarded_join
+from .knn import DIGITS, _better, ranked
+
+#: Queries that are scored at once.
+QUERY_BLOCK = 512
 
 #: Values nearer to zero than this are left out.
 TINY = 1e-10
@@ -47,11 +53,71 @@ def dot(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("score"))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank): the k largest products; ``allowed`` (id) is applied before."""
+def arrays(rows: DataFrame) -> DataFrame:
+    """(id, dims, weights) of rows (id, dim, weight): a vector in a row."""
+    cells = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "weight"))).alias("c"))
+    return cells.select("id", F.transform("c", lambda x: x.dim.cast("bigint")).alias("dims"), F.transform("c", lambda x: x.weight).alias("weights"))
+
+
+def arrays_from_dense(vectors: DataFrame, least: float = TINY) -> DataFrame:
+    """(id, dims, weights) of the components whose size is above ``least``; nothing is shuffled."""
+    cells = F.filter(F.transform("vector", lambda x, i: F.struct(i.cast("bigint").alias("dim"), x.cast("double").alias("weight"))), lambda c: F.abs(c.weight) > least)
+    return vectors.select("id", cells.alias("c")).select("id", F.transform("c", lambda x: x.dim).alias("dims"), F.transform("c", lambda x: x.weight).alias("weights"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, score, rank): the k largest products of vectors (id, dims, weights) that share a dimension with the query.
+
+    ``queries``: qid, dim, weight, taken in blocks of bounded size; ``allowed`` (id) is applied before. Each task keeps its
+    best k of each query, so no row for every pair is made.
+    """
+    spark, schema = vectors.sparkSession, "qid long, id long, score double"
+    rows = vectors.where("id is not null").select("id", "dims", "weights")
     if allowed is not None:
-        rows = rows.join(allowed.select("id").distinct(), "id", "left_semi")
-    return ranked(dot(rows, queries), k, ascending=False)
+        rows = guarded_join(rows, allowed.select("id").distinct(), ["id"], "left_semi", spread=F.col("id"))
+    given = cut(queries.where("qid is not null").select("qid", F.col("dim").cast("bigint").alias("dim"), "weight"))
+    blocks = -(-given.select("qid").distinct().count() // block)
+    out = None
+    for i in range(blocks):
+        part = given.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()  # the components of about ``block`` queries
+        if not part:
+            continue
+        qids = sorted({r.qid for r in part})
+        found = rows.mapInArrow(_local_best([tuple(r) for r in part], qids, k), schema)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out if out is not None else spark.createDataFrame([], schema), k, ascending=False)
+
+
+def _local_best(cells: list[tuple[int, int, float]], qids: list[int], k: int):
+    """Best k vectors of each query among a task's rows: products of runs of components with the queries' columns."""
+    dims = np.unique([d for _, d, _ in cells])
+    weight, has = np.zeros((len(dims) + 1, len(qids))), np.zeros((len(dims) + 1, len(qids)), bool)
+    row, col = np.searchsorted(dims, [d for _, d, _ in cells]), np.searchsorted(qids, [q for q, _, _ in cells])
+    np.add.at(weight, (row, col), [w for _, _, w in cells])
+    has[row, col] = True
+
+    def run(batches):
+        best = (np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max))
+        for b in batches:
+            ids, column = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            owner = np.repeat(np.arange(len(ids)), np.asarray(column.value_lengths().fill_null(0)))
+            dim, w = np.asarray(column.flatten()), np.asarray(b.column(2).flatten(), np.float64)
+            at = np.minimum(np.searchsorted(dims, dim), len(dims) - 1)
+            keep = np.flatnonzero(dims[at] == dim)
+            owner, at, w = owner[keep], at[keep], w[keep]
+            for lo in range(0, len(ids), 1_024):
+                i, j = np.searchsorted(owner, (lo, lo + 1_024))
+                if i < j:
+                    who, first = np.unique(owner[i:j], return_index=True)
+                    score = -np.round(np.add.reduceat(weight[at[i:j]] * w[i:j, None], first, axis=0), DIGITS) + 0.0
+                    shared = np.logical_or.reduceat(has[at[i:j]], first, axis=0)
+                    _better(best, np.arange(len(qids)), np.where(shared, score, np.inf).T, ids[who], k)
+        scores, who = best
+        keep = np.isfinite(scores)
+        cols = [np.broadcast_to(np.array(qids)[:, None], keep.shape)[keep], who[keep], -scores[keep] + 0.0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "id", "score"])
+
+    return run
 
 
 def stats(rows: DataFrame) -> DataFrame:

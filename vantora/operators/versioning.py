@@ -62,6 +62,16 @@ def rollback(history: DataFrame, targets: DataFrame, ts: Column, next_version: i
     return dense_numbers(new, "vector_id", "version_id", next_version)
 
 
+def deleted(history: DataFrame, ids: DataFrame, ts: Column, next_version: int) -> DataFrame:
+    """Marker versions that delete the given ids (vector_id): one for each that is live; the other columns are null."""
+    live = active_ids(history).join(ids.select("vector_id").distinct(), "vector_id", "left_semi")
+    from .mutation import dense_numbers
+
+    marks = dense_numbers(live, "vector_id", "version_id", next_version).withColumns({"ts": ts, "is_deleted": F.lit(True)})
+    rest = [F.lit(None).cast(t).alias(n) for n, t in history.dtypes if n not in ("vector_id", "version_id", "ts", "is_deleted")]
+    return marks.select("vector_id", "version_id", "ts", "is_deleted", *rest).select(history.columns)
+
+
 def diff(history: DataFrame, value: Column, keys: Column) -> DataFrame:
     """Each version against the one before: whether the value changed and by how much, keys added, removed and kept."""
     rows = history.select("vector_id", "version_id", value.alias("value"), keys.alias("keys"))

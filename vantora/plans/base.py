@@ -44,7 +44,7 @@ def rankings(spark, d):
     last = rows.groupBy("query_id", "id").agg(F.max_by(F.struct("vector_score", "text_score"), "scored_at").alias("r"))
 
     def one(c):
-        return last.select(F.col("query_id").alias("qid"), "id", F.col(f"r.{c}").alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < 1e12))
+        return last.select(F.col("query_id").alias("qid"), "id", F.col(f"r.{c}").alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
     return one("vector_score"), one("text_score")
 
@@ -78,8 +78,8 @@ RANKINGS = """
   latest as (
     select query_id as qid, id, vector_score, text_score from hybrid_results where query_id is not null and id is not null
     qualify row_number() over (partition by query_id, id order by scored_at desc nulls last) = 1),
-  a as (select qid, id, vector_score as score from latest where vector_score is not null and not isnan(vector_score) and abs(vector_score) < 1e12),
-  b as (select qid, id, text_score as score from latest where text_score is not null and not isnan(text_score) and abs(text_score) < 1e12)"""
+  a as (select qid, id, vector_score as score from latest where vector_score is not null and not isnan(vector_score)),
+  b as (select qid, id, text_score as score from latest where text_score is not null and not isnan(text_score))"""
 DOCS = r"""
   toks as (
     select doc_id as id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) > 1)) as term

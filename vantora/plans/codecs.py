@@ -62,15 +62,16 @@ _SQ = f"with {CODED}, s as (select qid, id, round({l2sq('qvec', 'back')}, 9) + 0
 @query(f"{_SQ} {top('s')}")
 def sq_search(spark, d):
     """Float queries against byte codes."""
-    sq, rows = _coded(spark, d)
-    return rounded(knn.knn_join(rows.select("id", sq.decode(F.col("code")).alias("vector")), queries(spark, d), K, "l2_squared"))
+    rows = vectors(spark, d)
+    sq = quant.ScalarQuantizer.train(rows)
+    return rounded(sq.search(sq.pack(rows), queries(spark, d), K))
 
 
 @query(f"{_SQ}, c as ({top('s', 4 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def sq_rerank(spark, d):
-    sq, rows = _coded(spark, d)
-    near = knn.knn_join(rows.select("id", sq.decode(F.col("code")).alias("vector")), queries(spark, d), 4 * K, "l2_squared")
-    return rounded(knn.rerank(near, vectors(spark, d), queries(spark, d), K))
+    rows = vectors(spark, d)
+    sq = quant.ScalarQuantizer.train(rows)
+    return rounded(knn.rerank(sq.search(sq.pack(rows), queries(spark, d), 4 * K), rows, queries(spark, d), K))
 
 
 @query(f"with {CODED}, p as (select a.id, a.code as x, b.code as y, a.scale from dec a join dec b on b.id = a.id + 1) select id, round(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * list_sum(list_transform(scale, lambda s: 1 / (s * s))) / len(scale), 6) as by_mean_scale, round(list_sum(list_transform(list_zip(x, y, scale), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / (z[3] * z[3]))), 6) as by_own_scale from p")
@@ -231,7 +232,7 @@ def rabitq_distance(spark, d):
 @query(f"with {_SIGN}, c as ({top('s', 5 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def rabitq_rerank(spark, d):
     rows, q = vectors(spark, d), queries(spark, d)
-    return rounded(knn.rerank(quant.sign_search(rows, q, 5 * K), rows, q, K))
+    return rounded(knn.rerank(quant.sign_search(quant.sign_codes(rows), q, 5 * K), rows, q, K))
 
 
 # trained lists and codebooks and turned signs; tests/test_operators.py measures recall on whole tables
@@ -260,7 +261,7 @@ def rabitq_rotated_rerank(spark, d):
     if dim is None:
         return rounded(knn.knn_join(rows, q, K))
     turn = quant.rotation(dim.n)
-    near = quant.sign_search(quant.rotated(rows, turn), quant.rotated(q, turn, "qid", "qvec"), SIGN_CANDIDATES)
+    near = quant.sign_search(quant.sign_codes(quant.rotated(rows, turn)), quant.rotated(q, turn, "qid", "qvec"), SIGN_CANDIDATES)
     return rounded(knn.rerank(near, rows, q, K))
 
 

@@ -56,7 +56,7 @@ FILTERS = {
 }
 for _n, (_f, _w) in FILTERS.items():
     query(f"with {META} select id, brand, kind, size::bigint as size from meta where {_w}", _n)(
-        lambda spark, d, f=_f: payload(spark, d).where(flt.condition(f, lambda n: F.col(n).cast("string"))).select("id", "brand", "kind", F.col("size").cast("bigint").alias("size"))
+        lambda spark, d, f=_f: flt.matching(payload(spark, d), f).select("id", "brand", "kind", F.col("size").cast("bigint").alias("size"))
     )
 
 
@@ -88,7 +88,7 @@ def bitmap_count(spark, d):
 
 @query(f"with {COLL}, s as ({near_sql(where='brand in (' + repr('Brand#1') + ', ' + repr('Brand#2') + ', ' + repr('Brand#7') + ')')}) {top('s')}")
 def knn_filtered(spark, d):
-    rows = collection(spark, d).where(flt.condition(flt.In("brand", ("Brand#1", "Brand#2", "Brand#7"))))
+    rows = flt.matching(collection(spark, d), flt.In("brand", ("Brand#1", "Brand#2", "Brand#7")))
     return rounded(knn.knn_join(rows, queries(spark, d), K))
 
 
@@ -99,7 +99,7 @@ _COMBINED_SQL = "kind in ('ECONOMY', 'SMALL', 'LARGE') and size between 5 and 45
 @query(f"with {COLL}, {DEAD}, s as ({near_sql('cosine', _COMBINED_SQL)}) select t.*, brand, kind, size::bigint as size from ({top('s')}) t join meta using (id)")
 def knn_combined_filter(spark, d):
     """The flagship: metadata, range, id range and tombstones below the search, metadata with the results."""
-    rows = collection(spark, d).where(flt.condition(_COMBINED) & F.col("id").between(10, 1_000_000))
+    rows = flt.matching(collection(spark, d), _COMBINED).where(F.col("id").between(10, 1_000_000))
     found = knn.knn_join(flt.active(rows, tombstones(spark, d)), queries(spark, d), K, "cosine")
     return rounded(found).join(payload(spark, d).select("id", "brand", "kind", F.col("size").cast("bigint").alias("size")), "id")
 
@@ -286,7 +286,7 @@ def bm25_search(spark, d):
 @query(f"with {DOCS}, ok as (select doc_id as id from documents where lang = 'en' and n_chars between 100 and 5000) {top('(select qid, id, score from bm join ok using (id))', order='score desc, id')}")
 def bm25_filtered(spark, d):
     docs = table(spark, d, "documents")
-    ok = docs.where(flt.condition(flt.Eq("lang", "en") & flt.Range("n_chars", 100, 5000))).select(F.col("doc_id").alias("id"))
+    ok = flt.matching(docs, flt.Eq("lang", "en") & flt.Range("n_chars", 100, 5000)).select(F.col("doc_id").alias("id"))
     return rounded(text.bm25_search(docs, text_queries(spark, d), K, ok))
 
 
@@ -315,6 +315,10 @@ def sparse_rows(spark, d):
     return sparse.from_dense(vectors(spark, d), 0.1)
 
 
+def sparse_arrays(spark, d):
+    return sparse.arrays_from_dense(vectors(spark, d), 0.1)
+
+
 def sparse_queries(spark, d):
     return sparse_rows(spark, d).where("id % 100 = 0").withColumnRenamed("id", "qid")
 
@@ -354,12 +358,12 @@ def sparse_norms(spark, d):
 
 @query(f"with {SPARSE} {top('sdot', order='score desc, id')}")
 def sparse_search(spark, d):
-    return rounded(sparse.search(sparse_rows(spark, d), sparse_queries(spark, d), K))
+    return rounded(sparse.search(sparse_arrays(spark, d), sparse_queries(spark, d), K))
 
 
 @query(f"with {SPARSE}, {META} {top('(select sdot.* from sdot join meta using (id) where size > 20)', order='score desc, id')}")
 def sparse_search_filtered(spark, d):
-    return rounded(sparse.search(sparse_rows(spark, d), sparse_queries(spark, d), K, payload(spark, d).where("size > 20")))
+    return rounded(sparse.search(sparse_arrays(spark, d), sparse_queries(spark, d), K, payload(spark, d).where("size > 20")))
 
 
 @query(f"with {SPARSE} select count(distinct id) as n_vectors, count(distinct dim) as n_dims, count(*) as n_postings, round(count(*) / count(distinct id), 6) as avg_nnz from sp")
@@ -439,7 +443,7 @@ def hybrid_filtered(spark, d):
 def hybrid_dense_sparse(spark, d):
     """Dense and sparse search of the same queries, three times k candidates each."""
     near = knn.knn_join(vectors(spark, d), queries(spark, d), 3 * K)
-    best = sparse.search(sparse_rows(spark, d), sparse_queries(spark, d), 3 * K)
+    best = sparse.search(sparse_arrays(spark, d), sparse_queries(spark, d), 3 * K)
     return rounded(fusion.dense_sparse("weighted", near.select("qid", "id", "score"), best.select("qid", "id", "score"), K))
 
 

@@ -46,9 +46,10 @@ def get_by_id(spark, d):
 
 @query(f"with {V}, {DEAD}, ask as (select unnest([7, 42, 43, 99, 1000000]) as id) select ask.id::bigint as id, v.id is not null and dead.id is null as found, dead.id is not null as deleted from ask left join v using (id) left join dead on dead.id = ask.id")
 def get_active_by_id(spark, d):
-    ask = spark.createDataFrame([(i,) for i in (7, 42, 43, 99, 1_000_000)], "id long")
-    have = vectors(spark, d).select("id", F.lit(True).alias("v"))
-    rows = ask.join(have, "id", "left").join(tombstones(spark, d).withColumn("t", F.lit(True)), "id", "left")
+    ids = [7, 42, 43, 99, 1_000_000]
+    ask = spark.createDataFrame([(i,) for i in ids], "id long")
+    have = filters.with_ids(vectors(spark, d), ids).select("id", F.lit(True).alias("v"))
+    rows = ask.join(have, "id", "left").join(filters.with_ids(tombstones(spark, d), ids).withColumn("t", F.lit(True)), "id", "left")
     return rows.select("id", (F.col("v").isNotNull() & F.col("t").isNull()).alias("found"), F.col("t").isNotNull().alias("deleted"))
 
 
@@ -104,16 +105,6 @@ def tier_assignment(spark, d):
     return a.join(hot, "id", "left").select("id", "accesses", F.coalesce("tier", F.lit("cold")).alias("tier"))
 
 
-@query("""
-    select coll_name || '_' || strftime(arrived_at, '%Y%m%d_%H%M%S') as name, coll_name, count(*) as n_files, max(arrived_at) as created_at
-    from wal_entries where lower(op) = 'checkpoint' group by all""")
-def list_snapshots(spark, d):
-    """Snapshots by name, one made at each checkpoint."""
-    rows = table(spark, d, "wal_entries").where(F.lower("op") == "checkpoint")
-    name = F.concat("coll_name", F.lit("_"), F.date_format("arrived_at", "yyyyMMdd_HHmmss"))
-    return rows.groupBy(name.alias("name"), "coll_name").agg(F.count("*").alias("n_files"), F.max("arrived_at").alias("created_at"))
-
-
 # logs
 
 _COPIES = """copies as (
@@ -378,8 +369,9 @@ def version_stats(spark, d):
 def delete_one(spark, d):
     rows, dead = vectors(spark, d), tombstones(spark, d)
     ask = spark.createDataFrame([(5,)], "id long")
-    new = mutation.newly_deleted(rows, dead, ask)
-    left = rows.join(dead.unionByName(new).distinct(), "id", "left_anti").agg(F.count("*").alias("active_after"))
+    new = mutation.newly_deleted(filters.with_ids(rows, [5]), filters.with_ids(dead, [5]), ask)
+    # counts only: the tombstones are distinct ids of rows
+    left = rows.agg(F.count("*").alias("n")).crossJoin(F.broadcast(dead.agg(F.countDistinct("id").alias("d")))).crossJoin(F.broadcast(new.agg(F.count("*").alias("m")))).select((F.col("n") - F.col("d") - F.col("m")).alias("active_after"))
     return ask.join(new.withColumn("n", F.lit(True)), "id", "left").select("id", F.coalesce("n", F.lit(False)).alias("newly_deleted")).crossJoin(F.broadcast(left))
 
 
@@ -445,11 +437,11 @@ def shard_stats(spark, d):
 @query(f"with {COLL}, {RING.format(n=4)}, s as ({near_sql()}), l as (select s.*, shard, row_number() over (partition by qid, shard order by score, id) as pos from s join routed using (id)), t as ({top('(select qid, id, score from l where pos <= 10)')}) select t.*, shard from t join routed using (id)")
 def sharded_topk(spark, d):
     """The nearest of each shard, then of all; each task keeps its best before anything is shuffled."""
-    rows, q = routed(spark, d), queries(spark, d)
-    found = None
-    for s in SHARDS:
-        part = knn.knn_join(rows.where(F.col("shard") == s), q, K).select("qid", F.lit(s).cast("bigint").alias("shard"), "id", "score")
-        found = part if found is None else found.unionByName(part)
+    rows, q = routed(spark, d).withColumn("list_id", F.col("shard")), queries(spark, d)
+    # a query asks every shard as a query of its own, so one scan serves all shards
+    asked = q.select(F.explode(F.array(*[F.lit(s).cast("bigint") for s in SHARDS])).alias("list_id"), F.col("qid").alias("own"), "qvec").withColumn("qid", F.col("own") * len(SHARDS) + F.col("list_id"))
+    near = knn.knn_join(rows, asked.select("qid", "qvec"), K, probes=asked.select("qid", "list_id"))
+    found = near.select(F.expr(f"qid div {len(SHARDS)}").alias("qid"), (F.col("qid") % len(SHARDS)).alias("shard"), "id", "score")
     return sharding.scatter_gather(found, K).select("qid", "shard", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -481,4 +473,4 @@ def stream_field_statistics(spark, d):
     root = shared_path(spark, "field-statistics")
     stream = ingest.file_stream(spark, f"{d}/events.parquet").select(F.col("event_type").alias("field_value"), F.col("value").alias("x"))
     ingest.running_counts(stream, ["field_value"], [F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")], f"{root}/counts", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/counts").withColumnRenamed("field_value", "value")
+    return ingest.latest_result(spark, f"{root}/counts").withColumnRenamed("field_value", "value")

@@ -159,9 +159,23 @@ class Collection:
         self._rewrite(number, state, rows, next_id=after)
         return {"before": before, "after": after, "removed": before - after}
 
-    def snapshot(self) -> int:
-        """The number of the state as it is now; states stay readable."""
-        return self._state()[0]
+    def snapshot(self, name: str | None = None) -> int:
+        """The number of the state as it is now; states stay readable. A name, once given, stays with its state."""
+        number = self._state()[0]
+        if name is not None and not publish_text(self.catalog.spark, f"{self.catalog.root}/{self.name}/snapshots/{name}", str(number)):
+            raise ValueError(f"snapshot {name} exists")
+        return number
+
+    def named_snapshots(self) -> DataFrame:
+        """(name, number, total, deleted, next_id) of the named snapshots, from their manifests."""
+        spark, rows = self.catalog.spark, []
+        for name in file_names(spark, f"{self.catalog.root}/{self.name}/snapshots"):
+            number = int(read_text(spark, f"{self.catalog.root}/{self.name}/snapshots/{name}"))
+            if number in self.snapshots():
+                state = self.catalog.read(self.name, number)
+                total = spark.read.schema(SCHEMA).parquet(*state["data"]).count() if state["data"] else 0
+                rows.append((name, number, total, self._dead(state).count(), state["next_id"]))
+        return spark.createDataFrame(rows, "name string, number long, total long, deleted long, next_id long")
 
     def snapshots(self) -> list[int]:
         """Numbers of the states that can be read."""
@@ -206,3 +220,28 @@ class Collection:
             rows = filters.with_ids(rows, ids)
         found = knn.knn_join(rows, queries, k, metric_of(self.config.distance))
         return found.join(rows.select("id", "metadata"), "id", "left").select("qid", "id", "score", "rank", "metadata")
+
+
+class WriteBuffer:
+    """Gathers single rows and appends them as one change when there are ``rows`` of them, or on ``flush``.
+
+    Rows that wait are not in the collection; their ids are known once they are flushed.
+    """
+
+    def __init__(self, collection: Collection, rows: int = 256):
+        self.collection, self.rows, self.waiting, self.flushes = collection, rows, [], []
+
+    def append(self, vector: list[float], metadata: dict[str, str] | None = None) -> None:
+        self.waiting.append((len(self.waiting), vector, metadata))
+        if len(self.waiting) >= self.rows:
+            self.flush()
+
+    def flush(self) -> tuple[int, int] | None:
+        """The first id and how many rows became visible; None if none waited."""
+        if not self.waiting:
+            return None
+        rows = self.collection.catalog.spark.createDataFrame(self.waiting, "n long, vector array<float>, metadata map<string,string>")
+        out = self.collection.append(rows, "n")
+        self.waiting = []
+        self.flushes.append(out)
+        return out

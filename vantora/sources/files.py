@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WAL = "seq long, ts timestamp, op string, coll_name string, id long, payload string"
@@ -37,17 +37,33 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WAL).json(path).where("seq is not null")
 
 
-def write_log(entries: DataFrame, path: str, per_segment: int = 10_000) -> None:
-    """Writes entries as JSON lines, a folder for each segment of the sequence."""
-    segment = F.floor(F.col("seq") / per_segment)
-    entries.withColumn("segment", segment).repartitionByRange("segment", "seq").sortWithinPartitions("seq").write.partitionBy("segment").mode("append").json(path)
+#: Entries of a log segment.
+SEGMENT = 10_000
+_PARTS = [c.split()[0] for c in WAL.split(", ")]
+
+
+def checksum() -> Column:
+    """CRC-32 of an entry's JSON form."""
+    return F.crc32(F.to_json(F.struct(*_PARTS)).cast("binary"))
+
+
+def write_log(entries: DataFrame, path: str, per_segment: int = SEGMENT) -> None:
+    """Writes entries as JSON lines with checksums, a folder for each segment of the sequence."""
+    rows = entries.select(*_PARTS).withColumn("crc", checksum()).withColumn("segment", F.floor(F.col("seq") / per_segment))
+    rows.repartitionByRange("segment", "seq").sortWithinPartitions("seq").write.partitionBy("segment").mode("append").json(path)
+
+
+def checked_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log's entries with ``intact``: whether an entry still has the checksum it was written with."""
+    rows = spark.read.schema(WAL + ", crc long, segment long").json(path).where("seq is not null")
+    return rows.withColumn("intact", F.coalesce(F.col("crc") == checksum(), F.lit(False)))
 
 
 def tail(entries: DataFrame, after: int) -> DataFrame:
-    """Entries with a sequence at or after a number, in order."""
+    """Entries with a sequence at or after a number."""
     return entries.where(F.col("seq") >= after)
 
 
-def truncate_before(entries: DataFrame, seq: int) -> DataFrame:
-    """What remains when segments wholly before a number are dropped."""
-    return entries.where(F.col("seq") >= seq)
+def truncate_before(entries: DataFrame, seq: int, per_segment: int = SEGMENT) -> DataFrame:
+    """What remains when the segments that lie wholly before a number are dropped: its own segment stays whole."""
+    return entries.where(F.col("seq") >= seq // per_segment * per_segment)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mutation import dense_numbers
+from ..session import file_names, publish_text
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -27,6 +28,30 @@ def append_batches(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def catch_up(spark: SparkSession, log: str, after: int, target: str, checkpoint: str) -> None:
+    """A replica's stream: entries of a folder of log segments from a number on, appended batch by batch.
+
+    Segments that were taken are remembered in the checkpoint, so a later call takes new ones only.
+    """
+    from ..sources.files import WAL
+
+    entries = spark.readStream.schema(WAL).option("recursiveFileLookup", True).json(log)
+    append_batches(entries.where(F.col("seq") >= after), target, checkpoint)
+
+
+def append_with_progress(stream: DataFrame, target: str, checkpoint: str) -> list[dict]:
+    """``append_batches`` that tells for each batch its number, rows and the rows so far."""
+    seen: list[dict] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        n = batch.sparkSession.read.parquet(f"{target}/batch={number}").count()
+        seen.append({"batch": number, "rows": n, "total": (seen[-1]["total"] if seen else 0) + n})
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
 def append_groups(stream: DataFrame, keys: list[str], aggregates, target: str, checkpoint: str) -> None:
     """Incremental statistics: partial aggregates of each batch, to be added up by the reader."""
 
@@ -37,15 +62,28 @@ def append_groups(stream: DataFrame, keys: list[str], aggregates, target: str, c
 
 
 def running_counts(stream: DataFrame, keys: list[str], aggregates, target: str, checkpoint: str) -> None:
-    """Statistics kept as the stream's state: every batch writes the whole current result, the last one holds."""
+    """Statistics kept as the stream's state: every batch writes the whole current result under its number.
+
+    A result counts once it is marked as done, so a reader (``latest_result``) never meets half of one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        publish_text(spark, f"{target}/done/{number}", "")
 
     counts = stream.groupBy(*keys).agg(*aggregates)
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def latest_result(spark: SparkSession, target: str) -> DataFrame:
+    """The last whole result of ``running_counts``."""
+    done = [int(n) for n in file_names(spark, f"{target}/done") if n.isdigit()]
+    if not done:
+        raise KeyError(f"no result in {target}")
+    return spark.read.parquet(f"{target}/batch={max(done)}")
+
+
 def windowed_counts(stream: DataFrame, time: str, window: str, late: str, keys: list[str]) -> DataFrame:
     """Rows in each window of event time; rows later than the watermark are dropped."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n"))
