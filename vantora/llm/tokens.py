@@ -27,6 +27,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 MAX_VOCABULARY = 64 << 20
 #: Nodes after which a task starts a new trie, to bound its memory; results don't change.
 MAX_NODES = 300_000
+#: Pairs of tokens that a task remembers whether they may follow each other.
+MAX_PAIRS = 1_000_000
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -66,6 +68,8 @@ class PrefixTrie:
         key = (a, b)
         known = self.follows.get(key)
         if known is None:
+            if len(self.follows) > MAX_PAIRS:
+                self.follows.clear()
             known = self.follows[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
@@ -100,10 +104,11 @@ class PrefixTrie:
         for w in split(text):
             known = words.get(w)
             if known is None:
+                if len(self.last) > MAX_NODES:
+                    self.clear()
+                    words = self.words
                 known = words[w] = self.encode(w)
             out += known
-        if len(self.last) > MAX_NODES:
-            self.clear()
         return out
 
 
