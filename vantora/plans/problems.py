@@ -78,21 +78,7 @@ def p7_merged(spark, d):
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_published, p2_resumed, p3_found, p3_wide, p7_found, p7_merged)}
 
-SQL = {
-    "p2_found": """
-        with marks as (
-          select replica, primary_addr, last_seq, last_sync, synced from (
-            select *, lower(trim(status)) = 'synced' as synced,
-              row_number() over (partition by replica, primary_addr
-                order by (lower(trim(status)) = 'synced') desc, last_sync desc nulls last, last_seq desc nulls last) as rn
-            from replica_state where replica is not null and primary_addr is not null) where rn = 1),
-        versions as (
-          select primary_addr, seq, min(arrived_at) as first_at, max(arrived_at) as last_at,
-            count(distinct (op, coll_name, id, payload)) > 1 as changed
-          from wal_entries where primary_addr is not null and seq is not null group by all)
-        select replica, seq from versions join marks using (primary_addr)
-        where not synced or last_seq is null or seq > last_seq or first_at > last_sync or (changed and last_at > last_sync)""",
-    "p3_found": r"""
+_CELLS = r"""
         with keyed as (
           select id, entry_no, meta_value,
             trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(trim(meta_key), '([\p{Ll}\p{N}])(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '[^\p{L}\p{N}]+', '_', 'g')), '_+', '_', 'g'), '_') as attr
@@ -122,8 +108,29 @@ SQL = {
               when regexp_matches(v, '^[0-9]{9,15}$') then (date '1970-01-01' + (v::bigint // 86400000)::int)
               when regexp_matches(v, '^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$') then try_strptime(v, '%-d %b %Y')::date end::varchar
             else v end as cell
-          from numbers)
+          from numbers)"""
+
+SQL = {
+    "p2_found": """
+        with marks as (
+          select replica, primary_addr, last_seq, last_sync, synced from (
+            select *, lower(trim(status)) = 'synced' as synced,
+              row_number() over (partition by replica, primary_addr
+                order by (lower(trim(status)) = 'synced') desc, last_sync desc nulls last, last_seq desc nulls last) as rn
+            from replica_state where replica is not null and primary_addr is not null) where rn = 1),
+        versions as (
+          select primary_addr, seq, min(arrived_at) as first_at, max(arrived_at) as last_at,
+            count(distinct (op, coll_name, id, payload)) > 1 as changed
+          from wal_entries where primary_addr is not null and seq is not null group by all)
+        select replica, seq from versions join marks using (primary_addr)
+        where not synced or last_seq is null or seq > last_seq or first_at > last_sync or (changed and last_at > last_sync)""",
+    "p3_found": _CELLS + """
         select id, attr, cell from typed where cell is not null""",
+    "p3_wide": _CELLS + """,
+        own as (select distinct id from latest where attr in ('category', 'in_stock', 'price', 'released_on', 'status'))
+        select own.id, max(cell) filter (attr = 'category') as category, max(cell) filter (attr = 'in_stock') as in_stock, max(cell) filter (attr = 'price') as price,
+          max(cell) filter (attr = 'released_on') as released_on, max(cell) filter (attr = 'status') as status
+        from own left join typed on typed.id = own.id group by own.id""",
     "p2_published": "select primary_addr, seq, op from wal_entries",
     "p2_resumed": """
         with given as (select *, epoch_us(arrived_at) as us from wal_entries where arrived_at is not null),
