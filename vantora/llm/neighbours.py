@@ -17,6 +17,8 @@ SPARE = 1
 #: Rows with at least a fourth of the budget near them in a block lie in a crowd that may be larger than the
 #: block; they are searched again in a second forest with so many times the budget.
 CROWD_SHARE, CROWD_BUDGET = 4, 4
+#: Pairs of a block, times k and its rows, beyond which each row is cut to its best before pairs are made.
+DENSE = 8
 #: What a cosine may be off by where vectors of one direction are one row, and ids of a direction that a task compares at once.
 SLACK, MEMBERS = 1e-6, 16_384
 
@@ -24,7 +26,37 @@ SLACK, MEMBERS = 1e-6, 16_384
 def block_neighbours(k: int, least: float, crowd: int):
     """Work on a block: for each row its k most similar other rows with at least that cosine, and whether at least ``crowd`` rows are that near."""
 
-    def work(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch | None:
+    def best(ids, r, c, exact):
+        """The k first of each row, of pairs (row, other, cosine) in any order."""
+        order = np.lexsort((ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[top], c[top], exact[top]
+
+    def each_once(m: np.ndarray):
+        """Pairs (row, later row) with at least the cosine, and how many others each row has; None if they are many."""
+        single, rows, others, held = m.astype(np.float32), [], [], 0
+        for lo in range(0, len(m), 512):
+            near = single[lo : lo + 512] @ single[lo:].T >= least - 1e-5
+            r, c = np.nonzero(near)
+            later = c > r
+            rows.append(r[later] + lo)
+            others.append(c[later] + lo)
+            held += len(rows[-1])
+            if held > DENSE * k * len(m):
+                return None
+        return np.concatenate(rows), np.concatenate(others)
+
+    def sparse(ids: np.ndarray, m: np.ndarray, pairs):
+        r, c = pairs
+        count = np.bincount(r, minlength=len(m)) + np.bincount(c, minlength=len(m))
+        exact = np.round(np.einsum("ij,ij->i", m[r], m[c]), 12)
+        keep = exact >= least
+        r, c, exact = r[keep], c[keep], exact[keep]
+        r, c, exact = best(ids, np.r_[r, c], np.r_[c, r], np.r_[exact, exact])
+        return [(ids[r], ids[c], exact, count[r] >= crowd)] if len(r) else []
+
+    def dense(ids: np.ndarray, m: np.ndarray):
         single, found = m.astype(np.float32), []
         for lo in range(0, len(ids), 512):
             sims = single[lo : lo + 512] @ single.T
@@ -32,21 +64,21 @@ def block_neighbours(k: int, least: float, crowd: int):
             near = sims >= least - 1e-5
             count = near.sum(axis=1)
             wide = count > 4 * k
-            if wide.any():  # dense rows: keep what can be among the best before sorting
+            if wide.any():  # keep what can be among the best before sorting
                 at = np.flatnonzero(wide)
                 bound = -np.partition(-sims[at], 2 * k, axis=1)[:, 2 * k] - 1e-6
                 near[at] &= sims[at] >= bound[:, None]
             r, c = np.nonzero(near)
-            if not len(r):
-                continue
             exact = np.round(np.einsum("ij,ij->i", m[lo + r], m[c]), 12)
             keep = exact >= least
-            r, c, exact = r[keep], c[keep], exact[keep]
-            order = np.lexsort((ids[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            first = np.searchsorted(r, r)
-            top = np.arange(len(r)) - first < k
-            found.append((ids[lo + r[top]], ids[c[top]], exact[top], count[r[top]] >= crowd))
+            r, c, exact = best(ids, r[keep], c[keep], exact[keep])
+            if len(r):
+                found.append((ids[lo + r], ids[c], exact, count[r] >= crowd))
+        return found
+
+    def work(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch | None:
+        pairs = each_once(m)
+        found = dense(ids, m) if pairs is None else sparse(ids, m, pairs)
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["rep", "other", "sim", "crowded"])

@@ -130,6 +130,23 @@ SQL = {
         every as (select 'vector' as member_kind, id, root from roots union all select 'codebook', id, root from code_roots)
         select member_kind, id as member_id, root as cluster_id from every
         qualify count(*) over (partition by member_kind, root) >= 3""",
+    "p1_clusters": f"""
+        with recursive {_USABLE},
+        reach as (
+          select id_a as id, id_b as other from linked
+          union select r.id, l.id_b from reach r join linked l on r.other = l.id_a),
+        roots as (select id, least(id, min(other)) as cluster_id from reach group by id),
+        mem as (select cluster_id, u.id, list_transform(vec, lambda x: x / norm) as u from roots join usable u using (id)),
+        sized as (select cluster_id, count(*) as size from mem group by cluster_id having count(*) >= 3),
+        comp as (
+          select cluster_id, pos, avg(x) as x from (
+            select cluster_id, unnest(range(len(u))) as pos, unnest(u) as x from mem join sized using (cluster_id)) group by all),
+        means as (select cluster_id, list(x order by pos) as mean, sqrt(sum(x * x)) as length from comp group by cluster_id),
+        scored as (
+          select cluster_id, size, round(sqrt(greatest(0.0, 1 - length * length)), 6) as radius, id,
+            round(list_sum(list_transform(list_zip(u, mean), lambda z: z[1] * z[2])) / greatest(length, 1e-300), 6) as sim
+          from mem join sized using (cluster_id) join means using (cluster_id))
+        select * from (select *, row_number() over (partition by cluster_id order by sim desc, id) as place from scored) where place <= 3""",
     "p5_found": f"""
         with {_USABLE},
         best as (select id_a, id_b from linked qualify row_number() over (partition by id_a order by sim desc, id_b) <= 5)
