@@ -155,7 +155,7 @@ class Channel:
         self.memory: dict[tuple[str, bool, bool], tuple[float, str, str]] = {}
         self._guesses: list[str] | None = None
         self._completions: dict[tuple[str, bytes], list[str]] = {}
-        self.losses: dict[tuple[str, bool, bool], tuple[float, str]] = {}
+        self.losses: dict[tuple[str, bool, bool, str, bool], tuple[float, str]] = {}
         self.gaps: dict[tuple[str, bool, bool], list[str]] = {}
         self._leads: dict[str, frozenset[str]] | None = None
         self.quiet: set[tuple[str, bool, bool]] = set()
@@ -382,9 +382,12 @@ class Channel:
         ends = [(s + (self.step(x, y, _EDGE) if at_end and y else 0.0), text) for (x, y), (s, text) in states[-1].items()]
         return max(ends)
 
-    def completed(self, window: str, at_start: bool, at_end: bool) -> tuple[float, str]:
-        """(gain, reading) of the likeliest reading of a window that has incomplete UTF-8 sequences; gain 0 if there is none."""
-        key = (window, at_start, at_end)
+    def completed(self, window: str, at_start: bool, at_end: bool, more: str = "", ends: bool = False) -> tuple[float, str]:
+        """(gain, reading) of the likeliest reading of a window that has incomplete UTF-8 sequences; gain 0 if there is none.
+
+        ``more`` is a stand-in behind the window that the reading may take; ``ends``: whether a word ends behind that.
+        """
+        key = (window, at_start, at_end, more, ends)
         known = self.losses.get(key)
         if known is not None:
             return known
@@ -392,11 +395,12 @@ class Channel:
             self.losses.clear()
         score, best = self.score(window, at_start, at_end), (0.0, window)
         for d in self.incomplete(window, at_start, at_end):
-            arcs = self.arcs(window, d)
+            arcs = self.arcs(window + more, d)
             if not any(len(readings) > 1 for a in arcs for _, readings in a):
                 continue
-            s, text = self.search(window, arcs, at_start, at_end)
-            best = max(best, (s - score, text))
+            s, text = self.search(window + more, arcs, at_start, ends if more else at_end)
+            if not (more and text.endswith(more)):  # the stand-in was taken
+                best = max(best, (s - score, text))
         self.losses[key] = best
         return best
 
@@ -416,7 +420,8 @@ class Channel:
         tail = text[j : j + 1] if text[j : j + 1] and text[j : j + 1] in STAND_INS else ""
         best = None
         for more in ("", tail) if tail else ("",):
-            gain, reading = self.completed(window + more, at_start, at_end and not more)
+            ends = j + len(more) == len(text) or text[j + len(more)].isspace()
+            gain, reading = self.completed(window, at_start, at_end, more, bool(more) and ends)
             if gain <= UTF8_GAIN:
                 continue
             before, after = self.around(text, i, j + len(more))
@@ -426,9 +431,11 @@ class Channel:
             rare = min(map(self.words, new))
             was = max(map(self.words, old), default=0.0)
             gain += WORD_WEIGHT * (math.log(rare + 0.5) - math.log(was + 0.5))
-            if gain > LOSS_GAIN and rare >= SEEN_TIMES and rare > was and (best is None or gain > best[0]):
-                best = gain, reading, len(more)
-        return best and best[1:]
+            # a question mark, or one of two blanks, stands for the byte rather than for itself
+            stands = bool(more) and (more == "?" or text[j + 1 : j + 2].isspace())
+            if gain > LOSS_GAIN and rare >= SEEN_TIMES and rare > was and (best is None or (stands, gain) > best[:2]):
+                best = stands, gain, reading, len(more)
+        return best and best[2:]
 
     def fill(self, before: str, window: str, after: str) -> str:
         """The likeliest text with each lost character replaced by one that the corpus has.
