@@ -197,3 +197,12 @@ def test_settings(tmp_path):
     assert config.load(str(tmp_path / "none.json"), {"a": 1}, {}) == {"a": 1}
     with pytest.raises(ValueError):
         config.load(str(path), None, {"APP__SERVER__OPEN": "maybe"})
+
+
+def test_many_blocks_of_queries_are_worked_off_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    df = vectors_of(spark, rng.standard_normal((120, 6)))
+    q = df.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    assert sorted(map(tuple, knn.knn_join(df, q, 3, block=4).collect())) == sorted(map(tuple, knn.knn_join(df, q, 3).collect()))
+    pq = quant.ProductQuantizer.of(quant.train_codebook(df, 2, 8))
+    assert sorted(map(tuple, pq.search(pq.encode(df), q, 3, block=4).collect())) == sorted(map(tuple, pq.search(pq.encode(df), q, 3).collect()))

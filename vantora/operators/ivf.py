@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, guarded_join
 from . import knn, quant
 
 #: Lists whose centroids fit on the driver and in every task.
@@ -74,7 +74,7 @@ def exact_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame,
 
 def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, list_id, vector): what is left of each vector without its centroid."""
-    rows = assigned.join(F.broadcast(centroids), "list_id")  # at most MAX_LISTS rows, see assign()
+    rows = guarded_join(assigned, centroids, ["list_id"], spread=F.col("id"))
     return rows.select("id", "list_id", F.zip_with("vector", "centroid", lambda x, c: x.cast("double") - c).alias("vector"))
 
 

@@ -2,7 +2,8 @@
 
 Queries are taken in blocks of bounded size. Each task scores its vectors against a block by one matrix
 product for each Arrow batch and keeps the best k of each query, so only k rows of each task and query are
-shuffled; the final choice ranks those. Filters go below the scan of the vectors.
+shuffled; the final choice ranks those. Filters go below the scan of the vectors. Where there are many blocks
+they are worked off one after the other, so the driver holds one of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORES
+from ..session import settled
 
 #: Queries that a task scores at once; more are taken block by block.
 QUERY_BLOCK = 2_048
@@ -136,7 +138,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
         given_lists = sorted({x for v in seen.values() for x in v}) if seen else []
         # only the lists that a query of the block asks for are read; stored by list_id, other folders are not opened
         read = base.where(F.col("list_id").isin(given_lists)) if 0 < len(given_lists) <= LISTED else base
-        found = read.mapInArrow(run, schema)
+        found = settled(read.mapInArrow(run, schema), blocks)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)

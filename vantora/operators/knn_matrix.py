@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .knn import QUERY_BLOCK, score_matrix
 
 
@@ -39,6 +40,6 @@ def distance_table(vectors: DataFrame, queries: DataFrame, digits: int = 6, bloc
                         cols += [np.round(s * score_matrix(m, q, k).ravel(), digits) + 0.0 for s, k in ((1, "l2_squared"), (-1, "dot"), (1, "cosine"))]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "id", "l2_squared", "dot", "cosine"])
 
-        found = base.mapInArrow(run, "qid long, id long, l2_squared double, dot double, cosine double")
+        found = settled(base.mapInArrow(run, "qid long, id long, l2_squared double, dot double, cosine double"), blocks)
         out = found if out is None else out.unionByName(found)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
+from ..session import settled
 
 #: A range below this has no scale of its own.
 TINY = 1e-10
@@ -220,7 +221,7 @@ class ProductQuantizer:
                         cols = [np.repeat(qids, order.shape[1]), ids[lo : lo + 4_096][order].ravel(), np.take_along_axis(d, order, 1).ravel()]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "id", "score"])
 
-            found = coded.select("id", "codes").mapInArrow(run, "qid long, id long, score double")
+            found = settled(coded.select("id", "codes").mapInArrow(run, "qid long, id long, score double"), blocks)
             out = found if out is None else out.unionByName(found)
         return ranked(out if out is not None else spark.createDataFrame([], "qid long, id long, score double"), k)
 
@@ -341,6 +342,6 @@ def code_search(coded: DataFrame, queries: DataFrame, k: int, scorer, width, blo
                 keep = np.isfinite(scores).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(qid, k)[keep], who.ravel()[keep], scores.ravel()[keep])], names=["qid", "id", "score"])
 
-        found = coded.mapInArrow(run, schema)
+        found = settled(coded.mapInArrow(run, schema), blocks)
         out = found if out is None else out.unionByName(found)
     return ranked(out if out is not None else spark.createDataFrame([], schema), k)

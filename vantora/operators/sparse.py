@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, guarded_join
+from ..session import cut, guarded_join, settled
 from .knn import DIGITS, _better, ranked
 
 #: Queries that are scored at once.
@@ -83,7 +83,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame |
         if not part:
             continue
         qids = sorted({r.qid for r in part})
-        found = rows.mapInArrow(_local_best([tuple(r) for r in part], qids, k), schema)
+        found = settled(rows.mapInArrow(_local_best([tuple(r) for r in part], qids, k), schema), blocks)
         out = found if out is None else out.unionByName(found)
     return ranked(out if out is not None else spark.createDataFrame([], schema), k, ascending=False)
 

@@ -90,6 +90,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Blocks of queries whose plans and data the driver holds at once.
+BLOCKS_AT_ONCE = 4
+
+
+def settled(found: DataFrame, blocks: int) -> DataFrame:
+    """The results of one of many blocks of queries: computed now if they are many, so that one block is held at a time."""
+    return cut(found) if blocks > BLOCKS_AT_ONCE else found
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most ``rows`` rows; reads no more than needed to know."""
     return df.limit(rows + 1).count() <= rows
