@@ -168,6 +168,16 @@ def test_every_fingerprint_within_the_radius_is_found():
         assert {(i, i) for i in range(len(index.prints))} <= set(zip(at.tolist(), other.tolist()))
 
 
+def test_fingerprints_by_both_ways():
+    import numpy as np
+
+    h = np.random.default_rng(2).integers(0, 1 << 63, 400).astype(np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    for window in (1, 2, 3, 12, 13, 40, 300):
+        want = np.packbits(np.array([2 * bits[i : i + window].sum(axis=0, dtype=int) > window for i in range(400 - window + 1)]), axis=1).view(np.uint64).ravel()
+        assert (leakage.fingerprints(h, window) == want).all() and (leakage.fingerprints(h, window, leakage.bit_sums(h)) == want).all()
+
+
 CLEAN = ["Le café est à côté, même l’été — 5 € déjà payés.", "Die Straße läuft größer für Größe über Käufer zurück.", "Você também não está em ação, é só amanhã.", "Покупатель доволен, но журнал записи показал цену.", "¿Por qué la señal está aquí? El niño comió jamón mañana.", "“Soft,” wrote a buyer, it’s naïve – 7 °C ±3", "価格フィールドの件数は24件ですが、昨日より少なくなっています。", "½ × ¾ © ® ™ and ∑ ≈ √π", "plain ascii only"]
 
 

@@ -64,9 +64,24 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW, sums: np.ndarray | None = None) -> np.ndarray:
-    """SimHash of every window of a run of word hashes: the majority of each bit."""
-    sums = bit_sums(hashes) if sums is None else sums
-    return np.packbits(2 * (sums[window:] - sums[:-window]) > window, axis=1).view(np.uint64).ravel()
+    """SimHash of every window of a run of word hashes: the majority of each bit.
+
+    With the ``sums`` before each place windows of any length cost one difference; without them sums over runs of 1, 2,
+    4, ... words, in bytes where they fit, are put together to the window's length.
+    """
+    if sums is not None:
+        return np.packbits(2 * (sums[window:] - sums[:-window]) > window, axis=1).view(np.uint64).ravel()
+    run = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.uint8 if window < 256 else np.int32, copy=False)
+    total, done, size = None, 0, 1
+    while size <= window:
+        if window & size:
+            part = run[done : done + len(hashes) - window + 1]
+            total = part if total is None else total + part
+            done += size
+        if 2 * size <= window:
+            run = run[:-size] + run[size:]
+        size *= 2
+    return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
 
 
 def shingle_hashes(rows: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -207,7 +222,7 @@ def _scan(passages: ItemIndex, whole: list[ItemIndex], radius: int, similar: flo
         flat = [w for t in texts for w in t]
         h = np.array([hashes[w] for w in flat], np.uint64)
         owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts]))
-        sums = bit_sums(h)
+        sums = bit_sums(h) if whole else None
         sizes = np.array([len(w) for w in flat], np.int32) if whole else None
         best: dict[tuple[int, int], tuple[float, bool]] = {}
         for index in (passages, *whole):
