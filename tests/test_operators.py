@@ -179,7 +179,7 @@ def test_recall_of_the_approximate_searches(spark):
     assert np.abs(turn @ turn.T - np.eye(64)).max() < 1e-9
     rv = quant.rotated(v, turn)
     rq = quant.rotated(q.withColumnsRenamed({"qid": "id", "qvec": "vector"}), turn).withColumnsRenamed({"id": "qid", "vector": "qvec"})
-    assert recall(spark, knn.rerank(quant.sign_search(rv, rq, 50), v, q, 10), exact) >= 0.5
+    assert recall(spark, knn.rerank(quant.sign_search(quant.sign_codes(rv), rq, 100), v, q, 10), exact) >= 0.9
     c = ivf.train_centroids(v, 8)
     own = ivf.assign(v, c)
     assert recall(spark, ivf.flat_search(own, q, c, 10, 8), exact) == 1.0
@@ -247,7 +247,7 @@ def test_adaptive_search_is_exact_above_its_threshold(spark):
     assert v.count() >= 2000 and {(r.qid, r.id, r["rank"]) for r in got.collect()} == {(r.qid, r.id, r["rank"]) for r in want.collect()}
 
 
-@pytest.mark.parametrize("name", ["ivf_trained_search", "pq_trained_rerank", "rabitq_rotated_rerank"])
+@pytest.mark.parametrize("name", ["ivf_trained_search", "pq_trained_rerank", "rabitq_rotated_rerank", "ivf_flat_search", "stored_lists_search", "pq_rerank", "rabitq_rerank", "sq_search", "sq_rerank", "two_stage_rerank", "adaptive_search", "ivfpq_search"])
 def test_recall_of_trained_searches(spark, name):
     import __spark_entry__
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, guarded_join
+from ..session import cut, guarded_join, settled
 from . import knn, quant
 
 #: Lists whose centroids fit on the driver and in every task.
@@ -84,18 +84,53 @@ def list_stats(assigned: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_lists"), F.sum("n").alias("n_vectors"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("mean_size"))
 
 
-def pq_search(coded: DataFrame, queries: DataFrame, centroids: DataFrame, pq: quant.ProductQuantizer, k: int, nprobe: int) -> DataFrame:
-    """Search in residual codes: the query's residual to each probed list against the codes of that list.
+def pq_search(coded: DataFrame, queries: DataFrame, centroids: DataFrame, pq: quant.ProductQuantizer, k: int, nprobe: int, block: int = 512) -> DataFrame:
+    """(qid, id, score, rank): search in residual codes (id, list_id, codes), of the query's ``nprobe`` nearest lists.
 
-    ``coded``: id, list_id, codes. Each (query, probed list) is a query of its own, scored only in its list.
+    For each of its lists a query has tables of the subspace distances between its residual to the list's centroid
+    and the codebook; the distance of a code is a sum of entries of these. Nothing is decoded, and only probed
+    lists are read.
     """
+    spark, books, schema = coded.sparkSession, pq.books, "qid long, id long, score double"
     probes = probe(queries, centroids, nprobe).select("qid", "list_id")
-    parts = probes.join(queries, "qid").join(centroids, "list_id")
-    parts = parts.select("qid", "list_id", F.zip_with("qvec", "centroid", lambda q, c: q.cast("double") - c).alias("qvec"))
-    numbered = cut(parts.withColumn("pair", F.monotonically_increasing_id()))  # written, so that the numbers stay
-    vectors = coded.select("id", "list_id", pq.decode(F.col("codes")).alias("vector"))
-    pairs = numbered.select(F.col("pair").alias("qid"), "qvec")
-    found = knn.knn_join(vectors, pairs, k, "l2_squared", probes=numbered.select(F.col("pair").alias("qid"), "list_id"))
-    back = numbered.select(F.col("pair"), "qid")
-    rows = found.select(F.col("qid").alias("pair"), "id", "score").join(back, "pair").select("qid", "id", "score")
-    return knn.ranked(rows, k)
+    parts = probes.join(queries.select("qid", "qvec"), "qid").join(centroids, "list_id")
+    parts = cut(parts.select("qid", "list_id", F.zip_with("qvec", "centroid", lambda q, c: q.cast("double") - c).alias("left")))
+    blocks = -(-queries.count() // block)
+    rows = coded.where("id is not null").select("id", "codes", "list_id")
+    out = None
+    for i in range(blocks):
+        asked = parts.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()  # about `block` queries, nprobe rows each
+        if not asked:
+            continue
+        lists = sorted({r.list_id for r in asked})
+
+        def run(batches, asked=asked):
+            qids = np.array(sorted({r.qid for r in asked}))
+            of_list: dict[int, list] = {}
+            for r in asked:
+                of_list.setdefault(r.list_id, []).append(r)
+            tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            best = (np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max))
+            for b in batches:
+                ids, own = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+                codes = np.asarray(b.column(1).flatten()).reshape(len(ids), -1)
+                for x in np.unique(own).tolist():
+                    if x not in of_list:
+                        continue
+                    if x not in tables:
+                        left = np.array([r.left for r in of_list[x]], np.float64).reshape(-1, books.shape[0], 1, books.shape[2])
+                        tables[x] = np.searchsorted(qids, [r.qid for r in of_list[x]]), ((left - books) ** 2).sum(axis=3)
+                    who, table = tables[x]
+                    at = np.flatnonzero(own == x)
+                    for lo in range(0, len(at), 4_096):
+                        part = at[lo : lo + 4_096]
+                        score = sum(table[:, j, codes[part, j]] for j in range(codes.shape[1]))
+                        knn._better(best, who, np.round(score, knn.DIGITS), ids[part], k)
+            scores, names = best
+            keep = np.isfinite(scores).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(qids, k)[keep], names.ravel()[keep], scores.ravel()[keep])], names=["qid", "id", "score"])
+
+        read = rows.where(F.col("list_id").isin(lists)) if len(lists) <= knn.LISTED else rows
+        found = settled(read.mapInArrow(run, schema), blocks)
+        out = found if out is None else out.unionByName(found)
+    return knn.ranked(out if out is not None else spark.createDataFrame([], schema), k)

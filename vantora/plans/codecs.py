@@ -98,11 +98,12 @@ def quantizer_stats(spark, d):
     return lim.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_trained"))))
 
 
-# product codes: a fixed codebook (the subvectors of the first sixteen vectors) for what SQL can check, trained ones beside it
+# product codes: a fixed codebook (the subvectors of the first 64 vectors) for what SQL can check, trained ones beside it
 
-M = 8
+#: Subspaces, vectors that are the fixed codebook, and candidates that are ranked again by exact distances.
+M, BOOK, PQ_AGAIN, SIGN_AGAIN, COARSE_AGAIN = 8, 64, 40 * K, 20 * K, 4 * K
 PQ = f"""{COLL},
-  book as (select m, id as code, vector[m * 8 + 1 : m * 8 + 8] as c from (select *, unnest(range({M})) as m from v where id < 16)),
+  book as (select m, id as code, vector[m * 8 + 1 : m * 8 + 8] as c from (select *, unnest(range({M})) as m from v where id < {BOOK})),
   sub as (select id, m, vector[m * 8 + 1 : m * 8 + 8] as x from (select *, unnest(range({M})) as m from v)),
   enc as (select id, m, code, c from (select sub.id, sub.m, code, c, row_number() over (partition by sub.id, sub.m order by round({l2sq('x', 'c')}, 9), code) as rn from sub join book on sub.m = book.m) where rn = 1),
   qs as (select qid, m, qvec[m * 8 + 1 : m * 8 + 8] as y from (select *, unnest(range({M})) as m from q)),
@@ -110,7 +111,7 @@ PQ = f"""{COLL},
 
 
 def fixed_pq(spark, d):
-    rows = vectors(spark, d).where("id < 16").orderBy("id").select("vector").collect()  # the codebook: sixteen vectors
+    rows = vectors(spark, d).where(f"id < {BOOK}").orderBy("id").select("vector").collect()  # the codebook: 64 vectors
     import numpy as np
 
     books = np.array([r.vector for r in rows], np.float64).reshape(len(rows), M, -1).transpose(1, 0, 2)
@@ -128,10 +129,10 @@ def pq_adc_search(spark, d):
     return rounded(pq.search(pq.encode(vectors(spark, d)), queries(spark, d), K))
 
 
-@query(f"with {PQ}, c as ({top('adc', 5 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
+@query(f"with {PQ}, c as ({top('adc', PQ_AGAIN)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def pq_rerank(spark, d):
     pq = fixed_pq(spark, d)
-    near = pq.search(pq.encode(vectors(spark, d)), queries(spark, d), 5 * K)
+    near = pq.search(pq.encode(vectors(spark, d)), queries(spark, d), PQ_AGAIN)
     return rounded(knn.rerank(near, vectors(spark, d), queries(spark, d), K))
 
 
@@ -143,11 +144,13 @@ def pq_train(spark, d):
 
 # inverted lists around the mean vector of each label
 
+#: Lists that a query of the fixed lists probes, of ten.
+PROBED = 8
 IVF = f"""{COLL},
   mean as (select label as list_id, pos, avg(x) as x from (select label, unnest(range(len(vector))) as pos, unnest(vector)::double as x from v) group by label, pos),
   cent as (select list_id, list(x order by pos) as centroid from mean group by list_id),
   asg as (select id, vector, list_id, dist from (select v.id, v.vector, list_id, round({l2('vector', 'centroid')}, 9) as dist, row_number() over (partition by v.id order by round({l2('vector', 'centroid')}, 9), list_id) as rn from v cross join cent) where rn = 1),
-  pr as (select qid, list_id, score, rn as rank from (select qid, list_id, round({l2('qvec', 'centroid')}, 9) as score, row_number() over (partition by qid order by round({l2('qvec', 'centroid')}, 9), list_id) as rn from q cross join cent) where rn <= 3)"""
+  pr as (select qid, list_id, score, rn as rank from (select qid, list_id, round({l2('qvec', 'centroid')}, 9) as score, row_number() over (partition by qid order by round({l2('qvec', 'centroid')}, 9), list_id) as rn from q cross join cent) where rn <= {PROBED})"""
 
 
 @query(f"with {IVF} select id, list_id::bigint as list_id, round(dist, 6) as dist from asg")
@@ -158,7 +161,7 @@ def ivf_assign(spark, d):
 
 @query(f"with {IVF} select qid, list_id::bigint as list_id, round(score, 6) as score, rank from pr")
 def ivf_probe(spark, d):
-    return ivf.probe(queries(spark, d), ivf.label_centroids(vectors(spark, d)), 3).select("qid", "list_id", F.round("score", 6).alias("score"), "rank")
+    return ivf.probe(queries(spark, d), ivf.label_centroids(vectors(spark, d)), PROBED).select("qid", "list_id", F.round("score", 6).alias("score"), "rank")
 
 
 def ivf_search(spark, d, nprobe):
@@ -169,7 +172,7 @@ def ivf_search(spark, d, nprobe):
 
 @query(f"with {IVF}, s as (select qid, id, round({l2('qvec', 'vector')}, 9) as score from pr join asg using (list_id) join q using (qid)) {top('s')}")
 def ivf_flat_search(spark, d):
-    return rounded(ivf_search(spark, d, 3))
+    return rounded(ivf_search(spark, d, PROBED))
 
 
 @query(f"with {IVF}, n as (select list_id, count(*) as n from asg group by list_id) select count(*) as n_lists, sum(n)::bigint as n_vectors, min(n) as smallest, max(n) as largest, round(avg(n), 6) as mean_size from n")
@@ -192,12 +195,6 @@ def ivfpq_encode(spark, d):
     return _ivfpq(spark, d)[2].select("id", "list_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
-@query()
-def ivfpq_search(spark, d):
-    centroids, pq, coded = _ivfpq(spark, d)
-    return rounded(ivf.pq_search(coded, queries(spark, d), centroids, pq, K, 8))
-
-
 @query(f"with {V}, own as (select label as list_id, vector, id from v), n as (select list_id, pos, avg(x) as mean, count(*) as n from (select list_id, unnest(range(len(vector))) as pos, unnest(vector)::double as x from own) group by list_id, pos) select list_id::bigint as list_id, pos, round(mean, 6) + 0.0 as mean, n from n")
 def kmeans_step(spark, d):
     """One update: the mean of each cluster's members by component."""
@@ -229,10 +226,10 @@ def rabitq_distance(spark, d):
     return out.select("qid", "id", F.round(quant.sign_distance(F.col("dot"), F.col("query_norm"), F.col("norm"), F.col("dim")), 6).alias("score"))
 
 
-@query(f"with {_SIGN}, c as ({top('s', 5 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
+@query(f"with {_SIGN}, c as ({top('s', SIGN_AGAIN)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def rabitq_rerank(spark, d):
     rows, q = vectors(spark, d), queries(spark, d)
-    return rounded(knn.rerank(quant.sign_search(quant.sign_codes(rows), q, 5 * K), rows, q, K))
+    return rounded(knn.rerank(quant.sign_search(quant.sign_codes(rows), q, SIGN_AGAIN), rows, q, K))
 
 
 # trained lists and codebooks and turned signs; tests/test_operators.py measures recall on whole tables
@@ -247,6 +244,14 @@ def ivf_trained_search(spark, d):
     return rounded(ivf.flat_search(ivf.assign(rows, centroids), queries(spark, d), centroids, K, PROBES))
 
 
+@query()
+def ivfpq_search(spark, d):
+    """Trained lists and residual codes; the candidates are ranked again by exact distances."""
+    rows, q = vectors(spark, d), queries(spark, d)
+    centroids, pq, coded = _ivfpq(spark, d)
+    return rounded(knn.rerank(ivf.pq_search(coded, q, centroids, pq, PQ_CANDIDATES, PROBES), rows, q, K))
+
+
 @query()
 def pq_trained_rerank(spark, d):
     rows, q = vectors(spark, d), queries(spark, d)
@@ -265,13 +270,13 @@ def rabitq_rotated_rerank(spark, d):
     return rounded(knn.rerank(near, rows, q, K))
 
 
-@query(f"with {COLL}, s as (select qid, id, round({l2sq('qvec', 'vector')}, 9) as score from (select qid, list_transform(qvec, lambda x: round(x::double, 1)) as qvec from q) cross join (select id, list_transform(vector, lambda x: round(x::double, 1)) as vector from v)), c as ({top('s', 2 * K)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
+@query(f"with {COLL}, s as (select qid, id, round({l2sq('qvec', 'vector')}, 9) as score from (select qid, list_transform(qvec, lambda x: round(x::double, 1)) as qvec from q) cross join (select id, list_transform(vector, lambda x: round(x::double, 1)) as vector from v)), c as ({top('s', COARSE_AGAIN)}), e as (select c.qid, c.id, round({l2('qvec', 'vector')}, 9) as score from c join q using (qid) join v using (id)) {top('e')}")
 def two_stage_rerank(spark, d):
-    """Twice k candidates by coarse components (one digit), then exact distances."""
+    """Four times k candidates by coarse components (one digit), then exact distances."""
     rows, q = vectors(spark, d), queries(spark, d)
 
     def coarse(c):
         return F.transform(c, lambda x: F.round(x.cast("double"), 1))
 
-    near = knn.knn_join(rows.select("id", coarse("vector").alias("vector")), q.select("qid", coarse("qvec").alias("qvec")), 2 * K, "l2_squared")
+    near = knn.knn_join(rows.select("id", coarse("vector").alias("vector")), q.select("qid", coarse("qvec").alias("qvec")), COARSE_AGAIN, "l2_squared")
     return rounded(knn.rerank(near, rows, q, K))

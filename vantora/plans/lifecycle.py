@@ -10,7 +10,7 @@ from ..sources import collection as store
 from ..sources import files, indexes
 from ..streaming import ingest
 from .base import COLL, DEAD, DOCS, K, RANKINGS, Q, V, l2, l2sq, payload, queries, rankings, rounded, text_queries, tombstones, top, vectors
-from .codecs import _SQ, IVF
+from .codecs import _SQ, IVF, PROBED
 from .search import SCALED, SPARSE, near_sql, sparse_arrays, sparse_queries
 from .store import _COPIES, HIST, REPLAY, at, history
 
@@ -178,7 +178,7 @@ def stored_lists_search(spark, d):
     index = indexes.ListIndex(spark, shared_path(spark, "lists"))
     rows = vectors(spark, d)
     index.create(rows, ivf.label_centroids(rows))
-    return rounded(index.search(queries(spark, d), K, 3))
+    return rounded(index.search(queries(spark, d), K, PROBED))
 
 
 @query("with left_ as (select p_partkey as id, p_brand as brand, p_type as kind from part where p_partkey % 4 <> 0) select 'brand' as field, brand as value, count(*) as n from left_ group by brand union all select 'kind', kind, count(*) from left_ group by kind")
@@ -262,9 +262,9 @@ def ivfpq_fixed_encode(spark, d):
   s as (select qid, id, round(sum({l2sq('y', 'c')}), 9) as score from qsub join renc using (list_id, m) group by qid, id)
   {top('s')}""")
 def ivfpq_fixed_search(spark, d):
-    """Search in three probed lists by tables of subspace distances for each query's residual to each list."""
+    """Search in the probed lists by tables of subspace distances for each query's residual to each list."""
     centroids, pq, coded = _residual(spark, d)
-    return rounded(ivf.pq_search(coded, queries(spark, d), centroids, pq, K, 3))
+    return rounded(ivf.pq_search(coded, queries(spark, d), centroids, pq, K, PROBED))
 
 
 @query(f"with {V}, p as (select label::bigint as label, id % 7 as part, pos, x from (select label, id, unnest(range(len(vector))) as pos, unnest(vector)::double as x from v)) select label, pos, round(avg(x), 6) + 0.0 as mean, count(*) as n from p group by label, pos")
