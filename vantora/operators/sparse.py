@@ -66,12 +66,13 @@ def arrays_from_dense(vectors: DataFrame, least: float = TINY) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, id, score, rank): the k largest products of vectors (id, dims, weights) that share a dimension with the query.
+    """(qid, id, score, rank): the k largest products of vectors (id, dims, weights), or rows (id, dim, weight), that share a dimension with the query.
 
     ``queries``: qid, dim, weight, taken in blocks of bounded size; ``allowed`` (id) is applied before. Each task keeps its
     best k of each query, so no row for every pair is made.
     """
     spark, schema = vectors.sparkSession, "qid long, id long, score double"
+    vectors = vectors if "dims" in vectors.columns else arrays(vectors)
     rows = vectors.where("id is not null").select("id", "dims", "weights")
     if allowed is not None:
         rows = guarded_join(rows, allowed.select("id").distinct(), ["id"], "left_semi", spread=F.col("id"))
