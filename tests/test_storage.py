@@ -206,3 +206,13 @@ def test_many_blocks_of_queries_are_worked_off_one_by_one(spark):
     assert sorted(map(tuple, knn.knn_join(df, q, 3, block=4).collect())) == sorted(map(tuple, knn.knn_join(df, q, 3).collect()))
     pq = quant.ProductQuantizer.of(quant.train_codebook(df, 2, 8))
     assert sorted(map(tuple, pq.search(pq.encode(df), q, 3, block=4).collect())) == sorted(map(tuple, pq.search(pq.encode(df), q, 3).collect()))
+
+
+def test_many_allowed_ids_are_neither_broadcast_nor_repeated(spark):
+    vectors = spark.createDataFrame([(i, [0, 1], [float(i % 7), 1.0]) for i in range(40)], "id long, dims array<long>, weights array<double>")
+    q = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "qid long, dim long, weight double")
+    allowed = spark.range(3, 60_003).select("id", (F.col("id") % 5).alias("size"))
+    found = sparse.search(vectors, q, 3, allowed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "explode" not in plan
+    assert [tuple(r) for r in found.orderBy("qid", "rank").collect()] == [(0, 6, 6.0, 1), (0, 13, 6.0, 2), (0, 20, 6.0, 3), (1, 3, 1.0, 1), (1, 4, 1.0, 2), (1, 5, 1.0, 3)]

@@ -160,7 +160,7 @@ def map_field(column: str = "metadata") -> Callable[[str], Column]:
 def with_ids(df: DataFrame, ids: DataFrame | Sequence[int], key: str = "id") -> DataFrame:
     """Only rows whose key is listed: a predicate for few ids, a join for a table of them."""
     if isinstance(ids, DataFrame):
-        return guarded_join(df, ids.select(key).distinct(), [key], "left_semi", spread=F.col(key))
+        return guarded_join(df, ids.select(key).distinct(), [key], "left_semi", salts=1)
     if len(ids) <= LISTED_IDS:
         return df.where(F.col(key).isin(*ids))
     return df.join(df.sparkSession.createDataFrame([(i,) for i in set(ids)], f"{key} long"), key, "left_semi")

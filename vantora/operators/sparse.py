@@ -75,7 +75,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame |
     vectors = vectors if "dims" in vectors.columns else arrays(vectors)
     rows = vectors.where("id is not null").select("id", "dims", "weights")
     if allowed is not None:
-        rows = guarded_join(rows, allowed.select("id").distinct(), ["id"], "left_semi", spread=F.col("id"))
+        rows = guarded_join(rows, allowed.select("id").distinct(), ["id"], "left_semi", salts=1)
     given = cut(queries.where("qid is not null").select("qid", F.col("dim").cast("bigint").alias("dim"), "weight"))
     blocks = -(-given.select("qid").distinct().count() // block)
     out = None

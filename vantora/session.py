@@ -115,16 +115,19 @@ def guarded_join(
 ) -> DataFrame:
     """Join ``big`` with a side that is usually small.
 
-    The side is broadcast only after its size was checked. A larger one is joined by shuffle, and its rows
-    are repeated under ``salts`` salts so that a hot key of ``big`` spreads over as many tasks.
+    The side is broadcast only after its size was checked. A larger one is joined by shuffle, whatever Spark guesses of
+    its size, and its rows are repeated under ``salts`` salts so that a hot key of ``big`` spreads over as many tasks;
+    with one salt, for keys that hardly repeat in ``big``, nothing is repeated.
     """
     if is_small(side, rows):
         return big.join(F.broadcast(side), on, how)
+    if salts == 1:
+        return big.join(side.hint("merge"), on, how)
     spread = spread if spread is not None else F.monotonically_increasing_id()
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        .join(salted, [*on, "_salt"], how)
+        .join(salted.hint("merge"), [*on, "_salt"], how)
         .drop("_salt")
     )
 
