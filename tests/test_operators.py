@@ -257,3 +257,32 @@ def test_recall_of_trained_searches(spark, name):
     share = recall(spark, __spark_entry__.queries()[name](spark, d), knn.knn_join(v, q, 10))
     print(f"RECALL {name} {share:.3f}")
     assert share >= 0.9
+
+
+def some_texts(spark):
+    """Texts of few words, of which one id has two; queries with repeated, unknown and no words; both also as lists."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(40)])
+    docs = [(i, " ".join(words[np.minimum(rng.geometric(0.12, rng.integers(1, 14)) - 1, 39)])) for i in range(60)]
+    asks = [(i, docs[i][1]) for i in range(0, 60, 6)] + [(100, "w0 w0 w1"), (101, "w0"), (102, ""), (103, "w0 unseen"), (None, "w0"), (104, None)]
+    docs += [(7, "w0, W39 w1"), (None, "w0 w1"), (61, None), (62, " ")]
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asks, "qid long, query string"), docs, asks
+
+
+def test_bm25_min_score_equals_all_scores(spark, monkeypatch):
+    docs, q, _, _ = some_texts(spark)
+    every = rows(text.bm25_scores(text.postings(docs), q.where("qid is not null")).select("qid", "id", "score"))
+    for least in (0, -1, 2.5, every[len(every) // 3][2], 1e6):
+        want = [(a, b) for a, b, s in every if s >= least]
+        for dense in (0.01, 256, 1e9):
+            monkeypatch.setattr(text, "DENSE", dense)
+            assert rows(text.bm25_min_score(docs, q, least)) == want
+    assert rows(text.bm25_min_score(docs, q, 2.5, block=3)) == rows(text.bm25_min_score(docs, q, 2.5)) != []
+    assert text.bm25_min_score(docs.limit(0), q, 0).collect() == text.bm25_min_score(docs, q.limit(0), 0).collect() == []
+
+
+def test_bm25_min_score_shuffles_no_pairs(spark):
+    from vantora.plans import search
+
+    plan = search.QUERIES["bm25_min_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

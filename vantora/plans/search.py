@@ -292,7 +292,7 @@ def bm25_filtered(spark, d):
 
 @query(f"with {DOCS} select qid, id from bm where score >= 60")
 def bm25_min_score(spark, d):
-    return text.bm25_min_score(text.postings(table(spark, d, "documents")), text_queries(spark, d), 60)
+    return text.bm25_min_score(table(spark, d, "documents"), text_queries(spark, d), 60)
 
 
 @query(f"with {DOCS}, need as (select qid, count(*) as need from qt group by qid) select qid, id from qt join post using (term) join need using (qid) group by qid, id, need having count(*) = need")
