@@ -286,3 +286,23 @@ def test_bm25_min_score_shuffles_no_pairs(spark):
 
     plan = search.QUERIES["bm25_min_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_must_match_equals_sets_of_words(spark):
+    docs, q, texts, asks = some_texts(spark)
+    words = {}
+    for i, t in texts:
+        if i is not None:
+            words.setdefault(i, set()).update((t or "").lower().replace(",", "").split())
+    want = sorted((a, i) for a, t in asks for i, w in words.items() if a is not None and t and w >= set(t.split()))
+    assert (0, 0) in want and (100, 7) in want and all(a not in (102, 103) for a, _ in want)
+    assert rows(text.must_match(text.token_rows(docs), q)) == want == rows(text.must_match(text.postings(docs), q))
+    assert rows(text.must_match(text.token_rows(docs), q, block=3)) == want
+    assert text.must_match(text.token_rows(docs.limit(0)), q).collect() == text.must_match(text.token_rows(docs), q.limit(0)).collect() == []
+
+
+def test_must_match_shuffles_no_pairs(spark):
+    from vantora.plans import search
+
+    plan = search.QUERIES["bm25_must_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -297,7 +297,7 @@ def bm25_min_score(spark, d):
 
 @query(f"with {DOCS}, need as (select qid, count(*) as need from qt group by qid) select qid, id from qt join post using (term) join need using (qid) group by qid, id, need having count(*) = need")
 def bm25_must_match(spark, d):
-    return text.must_match(text.postings(table(spark, d, "documents")), text_queries(spark, d))
+    return text.must_match(text.token_rows(table(spark, d, "documents")), text_queries(spark, d))
 
 
 @query(f"with {DOCS} select (select n_docs from stat) as n_docs, round((select avgdl from stat), 6) as avg_length, count(distinct term) as n_terms, count(*) as n_postings from post")
